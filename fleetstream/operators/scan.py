@@ -114,15 +114,17 @@ def gap_sessions(
 
 
 def grid_quantiles(
-    df: DataFrame, keys: list[str], value: str, steps: int, wanted: list[int] | None = None, buckets: int = 64
+    df: DataFrame, keys: list[str], value: str, steps: int, wanted: list[int] | None = None, buckets: int = 64,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles k/steps per key with linear interpolation, for groups of any size.
 
     Equal values are counted before the shuffle; each key is then cut into value
     ranges by approximate quantiles, so that no task holds a whole key. Returns
-    one row per key and k with column ``q``.
+    one row per key and k with column ``q``. ``weight`` counts a row several times.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    rows = F.count("*") if weight is None else F.sum(weight)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(rows.alias("__c"))
     cuts = [i / buckets for i in range(1, buckets)]
     splits = counted.groupBy(*keys).agg(
         F.percentile_approx("__v", cuts, F.lit(1000)).alias("__cuts"), F.sum("__c").alias("__n")

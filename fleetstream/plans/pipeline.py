@@ -32,7 +32,10 @@ def stage_table(name: str):
 
 class Pipeline:
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config | None = None):
-        self.spark, self.sf_dir, self.cfg = spark, sf_dir, cfg or Config()
+        self.spark, self.sf_dir = spark, sf_dir
+        # derived timelines are about ten minutes long: smaller chunks than the
+        # default, so that every ordered scan crosses chunk borders here too
+        self.cfg = cfg or Config(chunk_rows=240, chunk_s=240, planned_breaks="00:03-00:05,00:08-00:09")
         self._tables: dict[str, DataFrame] = {}
 
     @classmethod

@@ -127,13 +127,9 @@ def _(p):
     return d.groupBy("task_type").agg(F.count("*").alias("n"), F.sum("window_s").alias("window_s"))
 
 
-_EVENT_KEY_SQL = "select machine_id, frame_seq, type, min(event_id) event_id, count(*) n from (select machine_id, frame_seq // 2 frame_seq, type, event_id from event_feed) group by all"
-
-
 @query(
     "a6_insert_if_absent",
-    """with x as (select event_id, machine_id, type, frame_seq from event_feed), t as (select * from x where frame_seq % 3 = 0)
-    select x.event_id, x.machine_id, x.type from x where not exists (select 1 from t where t.event_id = x.event_id)""",
+    """select x.event_id, x.machine_id, x.type from event_feed x where not exists (select 1 from event_feed t where t.event_id = x.event_id and t.frame_seq % 3 = 0)""",
 )
 def _(p):
     x = p.t("event_feed").select("event_id", "machine_id", "type", "frame_seq")

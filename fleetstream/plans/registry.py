@@ -29,6 +29,8 @@ def _load() -> None:
     from fleetstream.plans import (  # noqa: F401
         q_ingest,
         q_safety,
+        q_windows,
+        q_incidents,
     )
 
 
