@@ -130,11 +130,11 @@ def grid_quantiles(
         F.percentile_approx("__v", cuts, F.lit(1000)).alias("__cuts"), F.sum("__c").alias("__n")
     )
     # null-safe join: a key of a grouping set is NULL when rolled up
-    joined = (
-        counted.alias("a").join(splits.alias("b"), _same("a", "b", keys)).select("a.*", "b.__cuts", "b.__n")
-        if keys
-        else counted.crossJoin(F.broadcast(splits))  # one row
-    )
+    if keys:
+        joined = counted.alias("a").join(splits.alias("b"), _same("a", "b", keys)).select("a.*", "b.__cuts", "b.__n")
+    else:
+        one = splits.select(F.struct("__cuts", "__n")).scalar()
+        joined = counted.withColumn("__s", one).select("*", "__s.*").drop("__s")
     ranged = joined.withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
     before = (
         ranged.groupBy(*keys, "__b").agg(F.sum("__c").alias("__bc"))

@@ -262,7 +262,7 @@ def _(p):
     return attribution.recent_cause_totals(p.t("attributed"), 20).groupBy("cause").agg(F.sum("seconds").alias("seconds"))
 
 
-@query("r6_operator_tasks", "select operator_id, count(*) tasks, count(*) filter (status = 'ACTIVE') active, sum(est_duration_minutes) minutes from tasks group by operator_id")
+@query("r6_operator_tasks", "select operator_id, count(*) tasks, count(*) filter (status = 'ACTIVE') active, sum(est_duration_minutes) AS minutes from tasks group by operator_id")
 def _(p):
     return p.t("tasks").groupBy("operator_id").agg(
         F.count("*").alias("tasks"), F.count_if(F.col("status") == "ACTIVE").alias("active"), F.sum("est_duration_minutes").alias("minutes")

@@ -188,10 +188,10 @@ def _(p):
 
 @query(
     "w3_min_frames",
-    """select window_id, frame_count, case when frame_count >= 20 then round(rpm_mean, 4) end rpm_mean, case when frame_count >= 20 then cycle_count end cycle_count, frame_count >= 20 sufficient from feat""",
+    """select window_id, frame_count, case when frame_count >= 20 then round(rpm_mean, 6) end rpm_mean, case when frame_count >= 20 then cycle_count end cycle_count, frame_count >= 20 sufficient from feat""",
 )
 def _(p):
-    return windows.minimal_rows(_feat(p), p.cfg).select("window_id", "frame_count", r("rpm_mean"), "cycle_count", "sufficient")
+    return windows.minimal_rows(_feat(p), p.cfg).select("window_id", "frame_count", r("rpm_mean", 6), "cycle_count", "sufficient")
 
 
 @query("w5_identity", "select window_id, first_seq, last_seq, frame_count, operator_id, task_id, site_id from feat")
@@ -204,8 +204,8 @@ for _name, _cols in {
     "w8_ratios": ["idle_ratio", "working_ratio", "truck_present_ratio", "hauler_queue_mean"], "w9_fuel": ["fuel_l_total"],
     "w10_cycles": ["cycle_count", "cycle_time_mean", "cycle_time_cv", "fuel_per_cycle"], "w11_temp_slope": ["temp_slope"],
 }.items():
-    query(_name, "select window_id, " + ", ".join(c if c == "cycle_count" else f"round({c}, 4) + 0 {c}" for c in _cols) + " from feat")(
-        lambda p, cols=_cols: _feat(p).select("window_id", *[c if c == "cycle_count" else r(c) for c in cols])
+    query(_name, "select window_id, " + ", ".join(c if c == "cycle_count" else f"round({c}, 6) + 0 {c}" for c in _cols) + " from feat")(
+        lambda p, cols=_cols: _feat(p).select("window_id", *[c if c == "cycle_count" else r(c, 6) for c in cols])
     )
 
 
@@ -223,13 +223,13 @@ def _(p):
 
 @query(
     "flagship_idle_machines",
-    """select machine_id, count(*) windows, round(avg(idle_ratio), 4) idle_ratio, round(sum(fuel_l_total), 3) fuel_l, sum(cycle_count) cycles from feat where frame_count >= 20 group by machine_id""",
+    """select machine_id, count(*) windows, round(avg(idle_ratio), 6) idle_ratio, round(sum(fuel_l_total), 5) fuel_l, sum(cycle_count) cycles from feat where frame_count >= 20 group by machine_id""",
 )
 def _(p):
     d = _feat(p).where(F.col("frame_count") >= p.cfg.min_frames)
     return d.groupBy("machine_id").agg(
-        F.count("*").alias("windows"), F.round(F.avg("idle_ratio"), 4).alias("idle_ratio"),
-        F.round(F.sum("fuel_l_total"), 3).alias("fuel_l"), F.sum("cycle_count").alias("cycles"),
+        F.count("*").alias("windows"), F.round(F.avg("idle_ratio"), 6).alias("idle_ratio"),
+        F.round(F.sum("fuel_l_total"), 5).alias("fuel_l"), F.sum("cycle_count").alias("cycles"),
     )
 
 

@@ -31,6 +31,7 @@ def _load() -> None:
         q_safety,
         q_windows,
         q_incidents,
+        q_models,
     )
 
 
