@@ -148,12 +148,11 @@ def persistence(windows: DataFrame, cfg: Config = Config()) -> DataFrame:
     """
     flag = F.coalesce("raw_flag", F.lit(False))
     d = windows.withColumn("__chunk", time_chunk("window_start", cfg.chunk_s))
-    d = scan(d, ["machine_id"], "__chunk", ["window_start"], sums={"__n": F.lit(1)})
-    d = scan(d, ["machine_id"], "__chunk", ["window_start"], lasts={"__off": F.when(~flag, F.col("__n"))})
-    run = F.when(flag, F.col("__n") - F.coalesce("__off", F.lit(0))).otherwise(0)
+    d = scan(d, ["machine_id"], "__chunk", ["window_start"], sinces={"__run": ~flag})
+    run = F.col("__run")
     return d.withColumns({
         "consecutive_windows": run.cast("long"), "operator_deviation_flag": flag & (run >= cfg.idle_dev_persist),
-    }).drop("__chunk", "__n", "__off")
+    }).drop("__chunk", "__run")
 
 
 def idle_deviation_events(windows: DataFrame) -> DataFrame:

@@ -39,15 +39,13 @@ def fresh(arrivals: DataFrame, cfg: Config = Config()) -> DataFrame:
 def classify_sequence(arrivals: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Add ``result``: first, accepted, duplicate, out_of_order or gap, against the highest seq so far."""
     d = arrivals.withColumn("__chunk", time_chunk("arrival_ts", cfg.chunk_s))
-    d = scan(d, ["machine_id"], "__chunk", ["arrival_ts", "arrival_no"], maxs={"__max": F.col("seq")})
-    # the highest seq before this row: same scan, one row earlier
-    d = scan(d, ["machine_id"], "__chunk", ["arrival_ts", "arrival_no"], prevs={"last_seq": F.col("__max")})
+    d = scan(d, ["machine_id"], "__chunk", ["arrival_ts", "arrival_no"], prior_maxs={"last_seq": F.col("seq")})
     last = F.col("last_seq")
     result = (
         F.when(last.isNull(), "first").when(F.col("seq") == last, "duplicate").when(F.col("seq") < last, "out_of_order")
         .when(F.col("seq") > last + 1, "gap").otherwise("accepted")
     )
-    return d.withColumn("result", result).drop("__chunk", "__max")
+    return d.withColumn("result", result).drop("__chunk")
 
 
 def admitted(arrivals: DataFrame, cfg: Config = Config()) -> DataFrame:

@@ -42,12 +42,18 @@ def scan(
     mins: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     prevs: dict[str, Column] | None = None,
+    prior_maxs: dict[str, Column] | None = None,
+    sinces: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sum / max / min, last non-null, and previous-row values.
+    """Add running values per key in one pass; all are inclusive of the row but for two.
 
-    ``prevs`` are taken from the row before; on the first row of a key they are NULL.
+    ``sums``, ``maxs``, ``mins``, ``lasts`` (last non-null value); ``prevs`` are
+    values of the row before (NULL on the first row of a key); ``prior_maxs``
+    are maxima over the rows before; ``sinces`` count the rows after the latest
+    row where a condition held (all rows so far if it never did).
     """
     sums, maxs, mins, lasts, prevs = sums or {}, maxs or {}, mins or {}, lasts or {}, prevs or {}
+    prior_maxs, sinces = prior_maxs or {}, sinces or {}
     local = Window.partitionBy(*keys, chunk).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     over_key = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
@@ -70,8 +76,27 @@ def scan(
         per_chunk.append(F.max(F.struct(position.alias("p"), expr.alias("v"))).alias(name))
         carried.append(F.last(F.col(name)["v"]).over(over_key).alias(CARRY + name))
 
-    summary = df.groupBy(*keys, chunk).agg(*per_chunk)
-    carry = summary.select(*keys, chunk, *carried)
+    for name, expr in prior_maxs.items():
+        per_chunk.append(F.max(expr).alias(name))
+        carried.append(F.max(name).over(over_key).alias(CARRY + name))
+    source = df
+    if sinces:
+        source = source.withColumn("__rn", F.row_number().over(local))
+        per_chunk.append(F.count("*").alias("__n"))
+    for name, cond in sinces.items():
+        per_chunk.append(F.max(F.when(cond, F.col("__rn"))).alias(name))
+
+    summary = source.groupBy(*keys, chunk).agg(*per_chunk)
+    simple = list(carried)
+    if sinces:
+        summary = summary.withColumn("__total", F.sum("__n").over(Window.partitionBy(*keys).orderBy(chunk)))
+        for name in sinces:
+            # rows after the hit, less all rows so far: adding the rows up to a later chunk gives the count there
+            at_hit = F.when(F.col(name).isNotNull(), F.col("__n") - F.col(name) - F.col("__total"))
+            simple.append(
+                (F.col("__total") - F.col("__n") + F.coalesce(F.last(at_hit, ignorenulls=True).over(over_key), F.lit(0))).alias(CARRY + name)
+            )
+    carry = summary.select(*keys, chunk, *simple)
     joined = df.join(carry, [*keys, chunk], "left")
 
     out = {}
@@ -86,7 +111,13 @@ def scan(
     for name, expr in prevs.items():
         first = F.row_number().over(local) == 1
         out[name] = F.when(first, F.col(CARRY + name)).otherwise(F.lag(expr).over(local))
-    return joined.withColumns(out).drop(*[c for c in joined.columns if c.startswith(CARRY)])
+    for name, expr in prior_maxs.items():
+        out[name] = F.greatest(F.max(expr).over(local.rowsBetween(Window.unboundedPreceding, -1)), F.col(CARRY + name))
+    for name, cond in sinces.items():
+        joined = joined.withColumn("__rn", F.row_number().over(local))
+        hit = F.max(F.when(cond, F.col("__rn"))).over(upto)
+        out[name] = F.when(hit.isNotNull(), F.col("__rn") - hit).otherwise(F.col("__rn") + F.col(CARRY + name))
+    return joined.withColumns(out).drop("__rn", *[c for c in joined.columns if c.startswith(CARRY)])
 
 
 def numbered(df: DataFrame, keys: list[str], chunk: str, order: list[str], name: str = "seq") -> DataFrame:
@@ -102,15 +133,40 @@ def gap_sessions(
     Adds ``{prefix}_gap_s`` (seconds to the previous row, NULL on the first),
     ``{prefix}_first_ts`` and ``{prefix}_pos`` (1-based position in the session).
     """
-    gap, first, pos, n = (f"{prefix}_{x}" for x in ("gap_s", "first_ts", "pos", "n"))
+    c = F.col
+    w = Window.partitionBy(*keys, "__chunk").orderBy(ts, *tie)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     d = df.withColumn("__chunk", time_chunk(ts, chunk_s))
-    d = scan(d, keys, "__chunk", [ts, *tie], prevs={"__prev": F.col(ts)}, sums={n: F.lit(1).cast("long")})
-    d = d.withColumn(gap, seconds(ts) - seconds("__prev"))
-    start = F.when(F.col(gap).isNull() | (F.col(gap) > gap_s), F.struct(F.col(ts).alias("ts"), F.col(n).alias("n")))
-    d = scan(d, keys, "__chunk", [ts, *tie], lasts={"__start": start})
-    return d.withColumns(
-        {first: F.col("__start")["ts"], pos: F.col(n) - F.col("__start")["n"] + 1}
-    ).drop("__chunk", "__prev", "__start", n)
+    d = d.withColumns({"__rn": F.row_number().over(w), "__gap": seconds(ts) - seconds(F.lag(ts).over(w))})
+    # latest session start inside the chunk; the chunk's first row is not known yet
+    d = d.withColumn("__cut", F.last(F.when(c("__gap") > gap_s, F.struct(c(ts).alias("ts"), c("__rn").alias("rn"))), ignorenulls=True).over(upto))
+
+    over = Window.partitionBy(*keys).orderBy("__chunk")
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    s = d.groupBy(*keys, "__chunk").agg(
+        F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n"), F.max("__cut").alias("cut")
+    )
+    s = s.withColumns({"before_ts": F.lag("last_ts").over(over), "total": F.sum("n").over(over)})
+    linked = F.coalesce(seconds("first_ts") - seconds("before_ts") <= gap_s, F.lit(False))
+    starts = c("cut").isNotNull() | ~linked
+    s = s.withColumns({
+        "linked": linked,
+        "start": F.when(starts, F.coalesce(c("cut")["ts"], c("first_ts"))),
+        "count": F.when(starts, F.coalesce(c("n") - c("cut")["rn"] + 1, c("n")) - c("total")),
+    })
+    carry = s.select(
+        *keys, "__chunk", c("before_ts").alias("__before_ts"), c("linked").alias("__linked"), c("first_ts").alias("__chunk_ts"),
+        F.last("start", ignorenulls=True).over(before).alias("__start"),
+        (c("total") - c("n") + F.last("count", ignorenulls=True).over(before)).alias("__count"),
+    )
+    d = d.join(carry, [*keys, "__chunk"])
+    inside = c("__cut").isNotNull()
+    out = {
+        f"{prefix}_gap_s": F.when(c("__rn") == 1, seconds(ts) - seconds("__before_ts")).otherwise(c("__gap")),
+        f"{prefix}_first_ts": F.when(inside, c("__cut")["ts"]).when(c("__linked"), c("__start")).otherwise(c("__chunk_ts")),
+        f"{prefix}_pos": F.when(inside, c("__rn") - c("__cut")["rn"] + 1).when(c("__linked"), c("__rn") + c("__count")).otherwise(c("__rn")).cast("long"),
+    }
+    return d.select(*df.columns, *[v.alias(k) for k, v in out.items()])
 
 
 def grid_quantiles(

@@ -32,6 +32,7 @@ def _load() -> None:
         q_windows,
         q_incidents,
         q_models,
+        q_knowledge,
     )
 
 
