@@ -90,7 +90,7 @@ cte("qterms", "select query_id, tag, term, count(*) qtf from (select query_id, t
 cte(
     "found",
     """select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) rk from (
-      select q.query_id, p.chunk_id, sum(q.qtf * i.idf * p.tf_factor) * case when list_contains(any_value(c.tags), any_value(q.tag)) then 1.5e0 else 1e0 end score
+      select q.query_id, p.chunk_id, round(sum(q.qtf * i.idf * p.tf_factor) * case when list_contains(any_value(c.tags), any_value(q.tag)) then 1.5e0 else 1e0 end, 9) score
       from qterms q join posts p using (term) join idfs i using (term) join chunks_sql c on c.chunk_id = p.chunk_id group by q.query_id, p.chunk_id)""",
 )
 
