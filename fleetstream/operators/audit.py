@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetstream.config import Config
 from fleetstream.functions.hashing import canonical_json, iso_utc
+from fleetstream.operators.groups import clustered
 from fleetstream.operators.scan import scan
 
 ENTRY_FIELDS = ("actor_id", "action", "target_type", "target_id")
@@ -45,7 +46,7 @@ def append_chain(entries: DataFrame, heads: DataFrame | None = None, max_chain:
         d = d.join(heads.select("chain_id", F.col("current_hash").alias("__head")), "chain_id", "left")
     else:
         d = d.withColumn("__head", F.lit(None).cast("string"))
-    d = d.repartition("chain_id").sortWithinPartitions("chain_id", "id")
+    d = clustered(d, ["chain_id"], ["id"])
 
     def link(batches):
         chain, prev = None, None

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def ordered_rows(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
@@ -14,6 +15,17 @@ def ordered_rows(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterato
         yield from zip(*[pdf[c] for c in columns])
 
 
+def clustered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """All rows of a key in one partition, sorted.
+
+    Partitioned by a hash of the keys, not by the keys: the planner drops a
+    repartition that a join or union below seems to provide, and adaptive
+    execution may then change that input, unaware that mapInPandas relies on it.
+    """
+    d = df.withColumn("__part", F.xxhash64(*keys)).repartition("__part")
+    return d.sortWithinPartitions(*keys, *order).drop("__part")
+
+
 def fold_groups(
     df: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, schema: str, finish: Callable | None = None
 ) -> DataFrame:
@@ -26,7 +38,7 @@ def fold_groups(
     columns = df.columns
     n_keys = [columns.index(k) for k in keys]
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
-    d = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    d = clustered(df, keys, order)
 
     def run(batches):
         current, state, out = None, None, []

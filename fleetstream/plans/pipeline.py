@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fleetstream.config import Config
 from fleetstream.operators.scan import numbered
 from fleetstream.plans.fixtures import BASE_TABLES, FIXTURES, LINE_ORDER
-from fleetstream.session import stage
+from fleetstream.session import stage, stage_path
 
 _STAGES: dict[str, Callable[["Pipeline"], DataFrame]] = {}
 _OPEN: dict[tuple[str, str], "Pipeline"] = {}
@@ -37,6 +37,7 @@ class Pipeline:
         # default, so that every ordered scan crosses chunk borders here too
         self.cfg = cfg or Config(chunk_rows=240, chunk_s=240, planned_breaks="00:03-00:05,00:08-00:09")
         self._tables: dict[str, DataFrame] = {}
+        self._paths: dict[str, str] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Pipeline":
@@ -53,12 +54,17 @@ class Pipeline:
         if name not in self._tables:
             if name in BASE_TABLES:
                 self._tables[name] = self.base(name)
-            elif name in _STAGES:
-                self._tables[name] = stage(_STAGES[name](self), name)
             else:
-                self._tables[name] = stage(self.fixture(name), name)
+                df = _STAGES[name](self) if name in _STAGES else self.fixture(name)
+                self._paths[name] = stage_path(self.spark, name)
+                self._tables[name] = stage(df, name, self._paths[name])
         return self._tables[name]
 
+    def stream(self, name: str) -> DataFrame:
+        """The staged table as a file stream."""
+        schema = self.t(name).schema
+        return self.spark.readStream.schema(schema).parquet(self._paths[name])
+
     def fixture(self, name: str) -> DataFrame:
         text = FIXTURES[name]
         args = {}

@@ -41,12 +41,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _STAGE_ROOT[app]
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage_path(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
     This cuts the lineage at a stage boundary; a lost executor re-reads files.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = path or stage_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
