@@ -28,12 +28,18 @@ def stats_map(stats: DataFrame) -> Column:
     return stats.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("median", "mad"))))).scalar()
 
 
+def feature_z(stats_col: str = "__stats") -> dict[str, Column]:
+    out = {}
+    for f in WINDOW_FEATURES:
+        s = F.col(stats_col)[f]
+        out[f] = robust_z(F.col(f), F.coalesce(s["median"], F.lit(0.0)), F.coalesce(s["mad"], F.lit(0.0)))
+    return out
+
+
 def drivers_array(stats_col: str = "__stats") -> Column:
     """All features with value and robust z, largest |z| first, feature order on ties."""
     items = []
-    for i, f in enumerate(WINDOW_FEATURES):
-        s = F.col(stats_col)[f]
-        z = robust_z(F.col(f), F.coalesce(s["median"], F.lit(0.0)), F.coalesce(s["mad"], F.lit(0.0)))
+    for i, (f, z) in enumerate(feature_z(stats_col).items()):
         items.append(F.struct((-F.abs(z)).alias("neg"), F.lit(i).alias("i"), F.lit(f).alias("feature"), F.col(f).alias("value"), z.alias("z")))
     return F.array_sort(F.array(*items))
 
@@ -73,7 +79,8 @@ def score_anomalies(
         top = F.transform(F.slice("__d", 1, 3), lambda x: F.struct(x["feature"].alias("feature"), F.round(x["value"], 4).alias("value"), F.round(x["z"], 3).alias("robust_z")))
         d = d.withColumn("drivers", top)
         if not has_forest:
-            peak = F.abs(c("__d")[0]["z"])
+            # not from the sorted drivers: a reader of scores alone then pays for no sorting
+            peak = F.when(c("__ok"), F.greatest(*[F.abs(z) for z in feature_z().values()]))
             d = d.withColumn("__peak", peak).withColumn("score", F.round("__peak", 3))
             hit = c("__peak") > threshold
     if "score" not in d.columns:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetstream.config import WINDOW_FEATURES, Config
 from fleetstream.operators.attribution import KEY_SEP
 from fleetstream.operators.scan import grid_quantiles
+from fleetstream.session import stage
 
 CAUSE_COLUMNS = ["idle_s_planned", "idle_s_machine", "idle_s_weather", "idle_s_site", "idle_s_operator"]
 # (1 - alpha)^400 with alpha 0.1 is below double precision: older rows cannot change an average.
@@ -50,7 +51,8 @@ def level_counts(rows: DataFrame) -> DataFrame:
 
 def medians(counted: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Exact median and median absolute deviation per key, for groups of any size."""
-    med = grid_quantiles(counted, keys, value, 2, [1], weight=weight).select(*keys, "n", F.col("q").alias("median"))
+    # one row per group, read twice below: written once instead of computed twice
+    med = stage(grid_quantiles(counted, keys, value, 2, [1], weight=weight).select(*keys, "n", F.col("q").alias("median")), "medians")
     off = counted.join(med.select(*keys, "median"), keys).withColumn("__off", F.abs(F.col(value) - F.col("median")))
     mad = grid_quantiles(off, keys, "__off", 2, [1], weight=weight).select(*keys, F.col("q").alias("mad"))
     return med.join(mad, keys)
