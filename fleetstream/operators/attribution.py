@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetstream.config import IDLE_CAUSES, Config
 from fleetstream.functions.ids import warm_event_id
 from fleetstream.functions.stats import robust_z
-from fleetstream.operators.scan import asof_join, scan, seconds, time_chunk
+from fleetstream.operators.scan import gap_sessions, scan, seconds, time_chunk
 from fleetstream.operators.windows import site_context, with_window
 
 KEY_SEP = "||"
@@ -31,11 +31,21 @@ def weather_stop(cfg: Config = Config()) -> Column:
 
 
 def fault_active(frames: DataFrame, events: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Add ``fault_active``: a health event of the machine within the hold time before the frame."""
-    faults = events.where("type = 'HEALTH_THRESHOLD'").select("machine_id", F.col("ts").alias("fault_ts")).distinct()
-    d = asof_join(frames, faults.withColumn("__at", F.col("fault_ts")), ["machine_id"], "ts", "__at", ["fault_ts"], cfg.fault_hold_s)
-    held = seconds("ts") - seconds("fault_ts") <= cfg.fault_hold_s
-    return d.withColumn("fault_active", F.coalesce(held, F.lit(False))).drop("fault_ts")
+    """Add ``fault_active``: a health event of the machine within the hold time before the frame.
+
+    Faults become disjoint spans, each listed under the time slots it covers;
+    frames meet them on (machine, slot) and find at most one span.
+    """
+    hold = cfg.fault_hold_s
+    faults = events.where("type = 'HEALTH_THRESHOLD'").select("machine_id", "ts").distinct()
+    s = gap_sessions(faults, ["machine_id"], "ts", [], hold, cfg.chunk_s, "span")
+    spans = s.groupBy("machine_id", F.col("span_first_ts").alias("__from")).agg(F.max("ts").alias("__last"))
+    slot = lambda sec: F.floor(sec / F.lit(hold)).cast("long")
+    spans = spans.withColumn("__slot", F.explode(F.sequence(slot(seconds("__from")), slot(seconds("__last") + hold))))
+    f, g = frames.withColumn("__slot", slot(seconds("ts"))).alias("f"), spans.alias("g")
+    cond = (F.col("f.machine_id") == F.col("g.machine_id")) & (F.col("f.__slot") == F.col("g.__slot"))
+    cond = cond & (F.col("f.ts") >= F.col("g.__from")) & (seconds("f.ts") - seconds("g.__last") <= hold)
+    return f.join(g, cond, "left").select("f.*", F.col("g.__from").isNotNull().alias("fault_active")).drop("__slot")
 
 
 def fault_event_ids(windows: DataFrame, events: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -107,7 +117,6 @@ def backoff(windows: DataFrame, baselines: DataFrame, cfg: Config = Config()) ->
         "operator_context": ["operator_id", "task_type", "weather", "operator_skill"],
         "skill_context": ["operator_skill", "task_type", "weather"],
         "task_type": ["task_type"],
-        "global": [],
     }
     d = windows
     picks = []
@@ -115,10 +124,11 @@ def backoff(windows: DataFrame, baselines: DataFrame, cfg: Config = Config()) ->
         side = baselines.where((F.col("level") == level) & (F.col("n") >= cfg.baseline_min_n)).select(
             F.col("key").alias(f"__k_{level}"), F.struct(F.lit(level).alias("level"), "ewma", "median", "mad").alias(f"__b_{level}")
         )
-        key = F.concat_ws(KEY_SEP, *cols) if cols else F.lit("global")
-        d = d.join(side, key == F.col(f"__k_{level}"), "left").drop(f"__k_{level}")
+        d = d.join(side, F.concat_ws(KEY_SEP, *cols) == F.col(f"__k_{level}"), "left").drop(f"__k_{level}")
         picks.append(F.col(f"__b_{level}"))
-    d = d.withColumn("__b", F.coalesce(*picks))
+    # the global level is one row
+    overall = baselines.where((F.col("level") == "global") & (F.col("n") >= cfg.baseline_min_n)).select(F.struct("level", "ewma", "median", "mad")).scalar()
+    d = d.withColumn("__b", F.coalesce(*picks, overall))
     return d.withColumns({
         "baseline_level": F.col("__b")["level"], "baseline_ewma": F.col("__b")["ewma"],
         "baseline_median": F.col("__b")["median"], "baseline_mad": F.col("__b")["mad"],

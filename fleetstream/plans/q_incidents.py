@@ -221,6 +221,12 @@ def _(p):
     return d.select("incident_id", "entry_key", SEC("first_ts").alias("first_s"), F.col("representative_event_id").alias("event_id"), "event_severity")
 
 
+@query("j10_representative_events", "select t.incident_id, t.entry_key, cast(epoch(t.first_ts) as bigint) first_s, cast(epoch(e.ts) as bigint) event_s from tl t join event_feed e on e.event_id = t.representative_event_id")
+def _(p):
+    d = readmodels.timeline_view(p.t("timeline"), p.t("feed"))
+    return d.select("incident_id", "entry_key", SEC("first_ts").alias("first_s"), SEC("event_ts").alias("event_s"))
+
+
 _SNAP = datetime(2026, 1, 1, 0, 10, 5, tzinfo=timezone.utc)
 
 

@@ -101,6 +101,11 @@ def _(p):
     return d.select("chunk_id", "doc_id", "heading", F.length("text").cast("long").alias("text_chars"), F.md5("text").alias("text_md5"), F.array_join("tags", ",").alias("tags"))
 
 
+@query("a5_document_source", "select distinct doc_id, 'Guide ' || substr(doc_id, 2) title, array_to_string(tags, ',') tags from chunks_sql")
+def _(p):
+    return knowledge.chunk_documents(p.t("knowledge_docs")).select("doc_id", "title", F.array_join("tags", ",").alias("tags")).distinct()
+
+
 @query("k1_duplicates", "select chunk_id, count(*) n from (select chunk_id from chunks_sql union all select chunk_id from chunks_sql where position = 1) group by chunk_id having count(*) > 1")
 def _(p):
     d = p.t("chunks")
