@@ -96,3 +96,18 @@ def test_envelope_takes_widest_factor_and_lowest_cap(spark):
     assert (a.conditions, a.red_radius_m, a.orange_radius_m, a.speed_cap_kmh) == ("RAIN,ICY,WINDY", 6.0, 10.5, 2.0)
     assert (b.conditions, b.red_radius_m, b.speed_cap_kmh, b.condition_multiplier) == ("", 4.0, 6.0, 1.0)
     assert (c.conditions, c.condition_multiplier, c.speed_cap_kmh) == ("LOW_VIS", 1.5, 3.0)
+
+
+@pytest.mark.parametrize("dt", ["frame", "event"])
+def test_risk_over_many_stretches(spark, dt):
+    """A short half-life makes the axis of chunks many stretches long."""
+    rows = _frames(8)
+    cfg = replace(SMALL, risk_half_life_s=0.5)
+    k = risk.LN2 / 0.5
+    got = {(r.machine_id, r.seq): r.risk_score for r in risk.risk_trajectory(spark.createDataFrame(rows, DDL), dt, cfg).collect()}
+    for m in ("A", "B", "C"):
+        x, last = 0.0, None
+        for _, seq, ts, *_, a in [r for r in rows if r[0] == m]:
+            step = 1.0 if dt == "frame" else (0.0 if last is None else (ts - last).total_seconds())
+            x, last = min(100.0, x * math.exp(-k * step) + a), ts
+            assert abs(got[(m, seq)] - x) < 1e-7
