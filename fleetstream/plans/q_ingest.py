@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetstream.functions import ids
-from fleetstream.operators import ingest, scan, states
+from fleetstream.operators import ingest, states
 from fleetstream.plans.oracle import cte
 from fleetstream.plans.pipeline import stage_table
 from fleetstream.plans.registry import query
