@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetstream.llm.common import local_components, ranges, words_of
+from fleetstream.llm.common import local_components, ranges
 from fleetstream.llm.components import components
 from fleetstream.session import stage
 
@@ -34,7 +34,7 @@ ONE, FULL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def fingerprint(text: str | None) -> int:
     """Unsigned fingerprint of a text; 0 if it has no word (null included)."""
-    words = [w.lower() for w in (words_of(text))]  # bytes.lower() changes A-Z only
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # of bytes, lower() changes A-Z only
     if not words:
         return 0
     shingles = [b" ".join(words)] if len(words) < SHINGLE else map(b" ".join, zip(words, words[1:], words[2:], strict=False))
