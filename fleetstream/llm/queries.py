@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetstream.llm import packing, simhash
+from fleetstream.llm import lines, mixing, packing, simhash, toxicity
 from fleetstream.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,28 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, by a model learned from rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of each document and whether its content lines keep it."""
+    docs = table(spark, sf_dir, "documents")
+    found = lines.label_lines(docs, lines.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words")
+
+
+@query
+def op7_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources at weights 5, 2, 1 takes of each document."""
+    found = mixing.taken_words(*mixing.mix(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op8_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed id matrices of all documents."""
