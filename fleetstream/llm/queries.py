@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetstream.llm import lines, mixing, packing, simhash, toxicity
+from fleetstream.llm import lines, mixing, packing, pages, simhash, toxicity
 from fleetstream.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,13 @@ def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words")
 
 
+@query
+def op6_dom_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    rows = table(spark, sf_dir, "pages")
+    return pages.main_text(rows, pages.train(rows)).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op7_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of the sources at weights 5, 2, 1 takes of each document."""
