@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetstream.llm import lines, mixing, packing, pages, simhash, toxicity
+from fleetstream.llm import knn, lines, mixing, packing, pages, simhash, toxicity
 from fleetstream.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,27 @@ def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op2_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of each vector whose id is divisible by 50 with the others."""
+    rows = knn.quantized(table(spark, sf_dir, "embeddings"))
+    return knn.top_k(rows, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
+
+
+SQL["op2_voronoi_knn"] = """
+WITH t AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM t q JOIN t c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+WHERE rank <= 5
+"""
+
+
 @query
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of each document and whether its content lines keep it."""
