@@ -99,7 +99,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         tag = m[2].lower()
         if m[1]:
             if any(o.tag == tag for o in stack):
-                if tag not in INLINE:
+                if tag not in INLINE and tag not in SILENT:
                     flush()
                 while stack.pop().tag != tag:
                     pass
@@ -112,7 +112,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             elif tag not in ("wbr", "img", "input"):
                 flush()
             continue
-        inline = tag in INLINE
+        inline = tag in INLINE or tag in SILENT and tag != "head"
         if not inline:
             flush()
             for k in range(len(stack) - 1, -1, -1):
