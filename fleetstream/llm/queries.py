@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetstream.llm import knn, lines, mixing, packing, pages, simhash, toxicity
+from fleetstream.llm import knn, lines, mixing, ngrams, packing, pages, simhash, substrings, toxicity
 from fleetstream.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,12 @@ WHERE rank <= 5
 """
 
 
+@query
+def op3_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of each document that an earlier document has too."""
+    return substrings.shared_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of each document and whether its content lines keep it."""
@@ -56,6 +62,13 @@ def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_words")
 
 
+@query
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of each document under a model of the trusted ones, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents")
+    return ngrams.perplexities(docs, ngrams.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query
 def op6_dom_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of each page."""
