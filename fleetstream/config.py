@@ -56,6 +56,8 @@ class Config:
     eta_slip: float = 0.10
     eta_slip_warning: float = 0.25
     eta_min_cycles: int = 3
+    # fewest validation rows of a task type that give it a band of its own
+    eta_band_min_n: int = 30
     # incidents
     correlation_window_s: int = 300
     timeline_merge_s: int = 30

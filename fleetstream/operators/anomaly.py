@@ -166,46 +166,54 @@ def _average_path(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def forest_scores(windows: DataFrame, forest: DataFrame, max_nodes: int = 500_000) -> DataFrame:
-    """Add ``raw_score`` = 2^(-mean path / c(n)); NULL where a feature is missing.
-
-    The forest is a bounded model (trees x twice the sample); its size is
-    checked before it is shipped to the executors.
-    """
-    nodes = forest.limit(max_nodes + 1).toPandas()
-    if len(nodes) > max_nodes:
-        raise ValueError("forest too large to ship; train with fewer trees or a smaller sample")
+def _add_paths(rows: DataFrame, nodes: pd.DataFrame) -> DataFrame:
+    """Add the path lengths of some trees to ``__path``, and what they are divided by to ``__norm``."""
     trees = []
     for _, t in nodes.sort_values("node").groupby("tree"):
         depth = t["depth"].to_numpy() + _average_path(t["size"].to_numpy())
         trees.append((t["feature"].to_numpy(), t["split"].to_numpy(), t["left"].to_numpy(), t["right"].to_numpy(), depth, int(t["size"].iloc[0])))
-    shared = windows.sparkSession.sparkContext.broadcast(trees)
+    shared = rows.sparkSession.sparkContext.broadcast(trees)
     features = list(WINDOW_FEATURES)
 
-    def score(batches):
-        model = shared.value
+    def add(batches):
         for pdf in batches:
             x = pdf[features].to_numpy(dtype=float)
             ok = ~np.isnan(x).any(axis=1)
             xs = x[ok]
-            total = np.zeros(len(xs))
-            norm = 0.0
-            for feature, split, left, right, depth, n in model:
+            total, norm = np.zeros(len(xs)), 0.0
+            for feature, split, left, right, depth, n in shared.value:
                 at = np.zeros(len(xs), dtype=int)
-                while True:
-                    inner = np.flatnonzero(feature[at] >= 0)
-                    if len(inner) == 0:
-                        break
+                while len(inner := np.flatnonzero(feature[at] >= 0)):
                     a = at[inner]
                     go = xs[inner, feature[a]] <= split[a]
                     at[inner] = np.where(go, left[a], right[a])
                 total += depth[at]
                 norm += float(_average_path(np.array([n]))[0])
-            out = np.full(len(pdf), np.nan)
-            if len(xs):
-                out[ok] = np.power(2.0, -total / max(norm, 1e-12))
-            yield pdf.assign(raw_score=pd.Series(out, index=pdf.index).where(ok, None).astype("float64"))
-
-    schema = T.StructType([*windows.schema.fields, T.StructField("raw_score", T.DoubleType())])
-    d = windows.mapInPandas(score, schema)
-    return d.withColumn("raw_score", F.when(~F.isnan("raw_score"), F.col("raw_score")))
+            path = pdf["__path"].to_numpy(dtype=float, copy=True)
+            path[ok] += total
+            path[~ok] = np.nan
+            yield pdf.assign(__path=path, __norm=pdf["__norm"] + norm)
+
+    return rows.mapInPandas(add, T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields]))
+
+
+def forest_scores(windows: DataFrame, forest: DataFrame, block_nodes: int = 200_000) -> DataFrame:
+    """Add ``raw_score`` = 2^(-mean path / c(n)); NULL where a feature is missing.
+
+    The forest is shipped in blocks of whole trees with about ``block_nodes``
+    nodes, one step per block; steps add up path lengths, so the result is the
+    same for any number of blocks.
+    """
+    sizes = sorted((r["tree"], r["count"]) for r in forest.groupBy("tree").count().collect())
+    blocks, filled = [[]], 0
+    for tree, n in sizes:
+        if blocks[-1] and filled + n > block_nodes:
+            blocks.append([])
+            filled = 0
+        blocks[-1].append(tree)
+        filled += n
+    d = windows.withColumns({"__path": F.lit(0.0), "__norm": F.lit(0.0)})
+    for trees in blocks:
+        d = _add_paths(d, forest.where(F.col("tree").between(trees[0], trees[-1])).toPandas()) if trees else d
+    score = F.pow(F.lit(2.0), -F.col("__path") / F.greatest("__norm", F.lit(1e-12)))
+    return d.withColumn("raw_score", F.when(~F.isnan(F.coalesce("__path", F.lit(float("nan")))), score)).drop("__path", "__norm")

@@ -50,7 +50,7 @@ def fault_active(frames: DataFrame, events: DataFrame, cfg: Config = Config()) -
 
 def fault_event_ids(windows: DataFrame, events: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Health events from hold time before the window to its end, as a sorted id list per window."""
-    steps = cfg.fault_hold_s // cfg.window_s
+    steps = -(-cfg.fault_hold_s // cfg.window_s)  # rounded up: the hold may end inside a window
     e = with_window(events.where("type = 'HEALTH_THRESHOLD'"), cfg)
     reach = e.select(
         "machine_id", "event_id", "ts",

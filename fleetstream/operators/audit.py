@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetstream.config import Config
-from fleetstream.functions.hashing import canonical_json, iso_utc
+from fleetstream.functions.hashing import ascii_escaped, canonical_json, iso_utc
 from fleetstream.operators.groups import clustered
 from fleetstream.operators.scan import scan
 
@@ -18,15 +18,15 @@ ENTRY_FIELDS = ("actor_id", "action", "target_type", "target_id")
 
 
 def payload_hash(**fields: Column) -> Column:
-    """SHA-256 of the payload's canonical JSON."""
-    return F.sha2(canonical_json(**fields), 256)
+    """SHA-256 of the payload's canonical JSON, in its form of ASCII only (frames are signed over unescaped text)."""
+    return F.sha2(ascii_escaped(canonical_json(**fields)), 256)
 
 
 def entry_hash(prev_hash: str = "prev_hash") -> Column:
     c = F.col
-    return F.sha2(canonical_json(
+    return F.sha2(ascii_escaped(canonical_json(
         prev_hash=c(prev_hash), payload_hash=c("payload_hash"), ts=iso_utc(c("ts")), **{f: c(f) for f in ENTRY_FIELDS}
-    ), 256)
+    )), 256)
 
 
 def append_chain(entries: DataFrame, heads: DataFrame | None = None, max_chain: int | None = None) -> DataFrame:
@@ -56,7 +56,7 @@ def append_chain(entries: DataFrame, heads: DataFrame | None = None, max_chain:
                 if row[0] != chain:
                     chain, prev = row[0], row[1]
                 body = {"prev_hash": prev, "payload_hash": row[2], "ts": row[3], **dict(zip(ENTRY_FIELDS, row[4:]))}
-                current = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+                current = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
                 prevs.append(prev)
                 currents.append(current)
                 prev = current

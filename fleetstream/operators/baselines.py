@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from fleetstream.config import WINDOW_FEATURES, Config
 from fleetstream.operators.attribution import KEY_SEP
-from fleetstream.operators.scan import grid_quantiles
+from fleetstream.operators.scan import grid_quantiles, join_null_safe
 from fleetstream.session import stage
 
 CAUSE_COLUMNS = ["idle_s_planned", "idle_s_machine", "idle_s_weather", "idle_s_site", "idle_s_operator"]
-# (1 - alpha)^400 with alpha 0.1 is below double precision: older rows cannot change an average.
-EWMA_REACH = 400
 
 
 def time_split(day: Column, n_days: int) -> Column:
@@ -52,25 +50,35 @@ def level_counts(rows: DataFrame) -> DataFrame:
 def medians(counted: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Exact median and median absolute deviation per key, for groups of any size."""
     # one row per group, read twice below: written once instead of computed twice
-    med = stage(grid_quantiles(counted, keys, value, 2, [1], weight=weight).select(*keys, "n", F.col("q").alias("median")), "medians")
-    off = counted.join(med.select(*keys, "median"), keys).withColumn("__off", F.abs(F.col(value) - F.col("median")))
-    mad = grid_quantiles(off, keys, "__off", 2, [1], weight=weight).select(*keys, F.col("q").alias("mad"))
-    return med.join(mad, keys)
+    med = stage(grid_quantiles(counted, keys, value, 2, [1], weight=weight, step="__k").select(*keys, "n", F.col("q").alias("median")), "medians")
+    off = join_null_safe(counted, med.select(*keys, "median"), keys).withColumn("__off", F.abs(F.col(value) - F.col("median")))
+    mad = grid_quantiles(off, keys, "__off", 2, [1], weight=weight, step="__k").select(*keys, F.col("q").alias("mad"))
+    return join_null_safe(med, mad, keys)
 
 
-def ewma_last(rows: DataFrame, keys: list[str], value: str, order: list[str], alpha: float) -> DataFrame:
-    """Last value of the exponentially weighted mean (first value as start) in the given order.
+def ewma_last(rows: DataFrame, keys: list[str], value: str, order: list[str], alpha: float, parts: list[Column] | None = None) -> DataFrame:
+    """Last value of the exponentially weighted mean (first value as start) in the given order, over all rows.
 
-    Equals a weighted sum over the latest rows; the rank limit keeps the
-    shuffle to a few hundred rows per group and task.
+    A row with ``back`` rows after it weighs alpha * (1 - alpha)^back, the first
+    row (1 - alpha)^back. ``parts`` cut the order into chunks, coarse to fine,
+    each never falling along the order; rows are ranked inside a chunk, and the
+    sums of chunks are discounted by the rows of later chunks, level by level.
     """
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    d = rows.withColumn("__back", F.row_number().over(w)).where(F.col("__back") <= EWMA_REACH)
-    d = d.withColumn("__n", F.max("__back").over(Window.partitionBy(*keys)))
-    keep = F.pow(F.lit(1.0 - alpha), F.col("__back") - 1)
-    first = (F.col("__back") == F.col("__n")) & (F.col("__n") < EWMA_REACH)
-    weight = F.when(first, keep).otherwise(keep * alpha)
-    return d.groupBy(*keys).agg(F.sum(weight * F.col(value)).alias("ewma"))
+    c = F.col
+    parts = parts or [c(order[0])]
+    names = [f"__p{i}" for i in range(len(parts))]
+    d = rows.select(*keys, *order, c(value).alias("__v"), *[p.alias(n) for n, p in zip(names, parts)])
+    w = Window.partitionBy(*keys, *names).orderBy(*[c(o).desc() for o in order])
+    d = d.withColumn("__back", F.row_number().over(w) - 1)
+    kept = lambda n: F.pow(F.lit(1.0 - alpha), n)
+    s = d.groupBy(*keys, *names).agg(
+        F.sum(kept(c("__back")) * alpha * c("__v")).alias("s"), F.count("*").alias("n"), F.max_by("__v", "__back").alias("first")
+    )
+    while names:
+        part = names.pop()
+        later = F.coalesce(F.sum("n").over(Window.partitionBy(*keys, *names).orderBy(c(part).desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        s = s.withColumn("s", c("s") * kept(later)).groupBy(*keys, *names).agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.min_by("first", part).alias("first"))
+    return s.select(*keys, (c("s") + (1.0 - alpha) * kept(c("n") - 1) * c("first")).alias("ewma"))
 
 
 def idle_baselines(train: DataFrame, cfg: Config = Config(), order: list[str] | None = None) -> DataFrame:
@@ -80,7 +88,9 @@ def idle_baselines(train: DataFrame, cfg: Config = Config(), order: list[str] |
     context = ["operator_id", "task_type", "weather", "operator_skill"]
     counted = rows.groupBy(*context, "operator_idle_ratio").agg(F.count("*").alias("c"))
     stats = medians(at_levels(counted), ["level", "key"], "operator_idle_ratio", "c")
-    ewma = ewma_last(at_levels(rows.select(*context, *order, "operator_idle_ratio")), ["level", "key"], "operator_idle_ratio", order, cfg.ewma_alpha)
+    # the machine of a window id, with its separator, never falls along the order of ids
+    parts = [F.col(order[0])] + [F.concat(F.substring_index(o, ":", 1), F.lit(":")) for o in order[1:] if o == "window_id"]
+    ewma = ewma_last(at_levels(rows.select(*context, *order, "operator_idle_ratio")), ["level", "key"], "operator_idle_ratio", order, cfg.ewma_alpha, parts)
     d = stats.join(ewma, ["level", "key"])
     return d.select("level", "key", "n", *[F.round(c, 4).alias(c) for c in ("ewma", "median", "mad")])
 

@@ -104,7 +104,7 @@ def evidence_text(key: str, default: str) -> Column:
 
 
 def summary_text() -> Column:
-    """One line about an event from its type and its ``evidence`` map."""
+    """One line about an event from its type and its ``evidence`` map. The texts."""
     c, e, lit = F.col, evidence_text, F.lit
     return (
         F.when(c("type") == "SEATBELT_VIOLATION", F.concat(lit("Seatbelt unfastened while "), e("state", "operating")))
@@ -151,7 +151,7 @@ def escalation_steps(rows: DataFrame) -> DataFrame:
 def unlinked(events: DataFrame, linked: DataFrame, as_of: Column, cfg: Config = Config()) -> DataFrame:
     """WARNING or worse within the look-back that no incident holds: input for a new correlation pass."""
     recent = events.where(
-        (severity_rank(F.col("severity")) >= 1) & (F.col("ts") <= as_of) & (seconds("ts") >= seconds(as_of) - cfg.reconcile_lookback_s)
+        (severity_rank(F.col("severity")) >= 1) & (F.col("ts") <= as_of) & (F.col("ts") >= as_of - F.make_dt_interval(secs=F.lit(cfg.reconcile_lookback_s)))
     )
     return recent.join(linked.select("event_id"), "event_id", "left_anti")
 

@@ -159,7 +159,7 @@ def gap_sessions(
         F.last("start", ignorenulls=True).over(before).alias("__start"),
         (c("total") - c("n") + F.last("count", ignorenulls=True).over(before)).alias("__count"),
     )
-    d = d.join(carry, [*keys, "__chunk"])
+    d = join_null_safe(d, carry, [*keys, "__chunk"])
     inside = c("__cut").isNotNull()
     out = {
         f"{prefix}_gap_s": F.when(c("__rn") == 1, seconds(ts) - seconds("__before_ts")).otherwise(c("__gap")),
@@ -171,13 +171,14 @@ def gap_sessions(
 
 def grid_quantiles(
     df: DataFrame, keys: list[str], value: str, steps: int, wanted: list[int] | None = None, buckets: int = 64,
-    weight: str | None = None,
+    weight: str | None = None, step: str = "k",
 ) -> DataFrame:
     """Exact quantiles k/steps per key with linear interpolation, for groups of any size.
 
     Equal values are counted before the shuffle; each key is then cut into value
     ranges by approximate quantiles, so that no task holds a whole key. Returns
-    one row per key and k with column ``q``. ``weight`` counts a row several times.
+    one row per key and quantile: its number (column ``step``), n and ``q``.
+    ``weight`` counts a row several times.
     """
     rows = F.count("*") if weight is None else F.sum(weight)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(rows.alias("__c"))
@@ -219,13 +220,13 @@ def grid_quantiles(
     if wanted is not None:
         ks = F.array_intersect(ks, F.array(*[F.lit(k).cast("long") for k in wanted]))
     hits = (
-        ranks.select(*keys, "__v", "__lo", "__hi", "__n", F.explode(ks).alias("k"))
-        .withColumn("__r", F.expr(f"(k * (__n - 1)) div {steps}"))
-        .withColumn("__f", F.expr(f"(k * (__n - 1)) % {steps}") / F.lit(float(steps)))
+        ranks.select(*keys, "__v", "__lo", "__hi", "__n", F.explode(ks).alias("__step"))
+        .withColumn("__r", F.expr(f"(__step * (__n - 1)) div {steps}"))
+        .withColumn("__f", F.expr(f"(__step * (__n - 1)) % {steps}") / F.lit(float(steps)))
     )
     at = lambda r: (F.col("__lo") <= r) & (r < F.col("__hi"))
     return (
-        hits.groupBy(*keys, "k")
+        hits.groupBy(*keys, "__step")
         .agg(
             F.max(F.when(at(F.col("__r")), F.col("__v"))).alias("__a"),
             F.max(F.when(at(F.col("__r") + 1), F.col("__v"))).alias("__b"),
@@ -234,12 +235,18 @@ def grid_quantiles(
         )
         .where(F.col("__a").isNotNull())
         .select(
-            *keys, "k", "n",
+            *keys, F.col("__step").alias(step), "n",
             (F.col("__a") + F.coalesce((F.col("__b") - F.col("__a")) * F.col("__f"), F.lit(0.0))).alias("q"),
         )
     )
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, a NULL being equal to a NULL: rows without a key keep their own timeline or group."""
+    more = [F.col(f"__r.{c}") for c in right.columns if c not in keys]
+    return left.alias("__l").join(right.alias("__r"), _same("__l", "__r", keys), how).select("__l.*", *more)
+
+
 def _same(a: str, b: str, keys: list[str]) -> Column:
     cond = F.lit(True)
     for k in keys:

@@ -40,7 +40,7 @@ def _scored_test(p):
 
 @stage_table("forest")
 def _forest(p):
-    return anomaly.fit_forest(_train(p), trees=100, sample=256, seed=42)
+    return anomaly.fit_forest(_train(p), trees=200, sample=256, seed=42)
 
 
 @stage_table("forest_quantiles")
@@ -55,7 +55,7 @@ def _(p):
 
 @query("n2_forest_nodes")
 def _(p):
-    d = anomaly.fit_forest(_train(p), trees=50, sample=256, seed=7)
+    d = anomaly.fit_forest(_train(p), trees=200, sample=256, seed=7)
     return d.groupBy("tree").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"), F.max(F.when(F.col("node") == 0, F.col("size"))).alias("rows"))
 
 
@@ -297,7 +297,7 @@ def _(p):
 @query("e6_factors")
 def _(p):
     t = p.t("task_context").where("task_type is not null and target_cycles > 0")
-    d = eta.explain_eta(t, _model(p), p.t("eta_split"), background=8)
+    d = eta.explain_eta(t, _model(p), p.t("eta_split"), background=100)
     total = F.aggregate("factors", F.lit(0.0), lambda a, f: a + f["minutes"])
     return d.select(
         "task_id", r("p50_min", 2), r("base_value_min", 2), F.array_join(F.transform("factors", lambda f: F.concat(f["group"], F.lit("="), f["minutes"].cast("string"))), ";").alias("factors"),

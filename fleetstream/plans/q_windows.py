@@ -409,6 +409,16 @@ def _(p):
     return baselines.ewma_last(baselines.at_levels(rows), ["level", "key"], "operator_idle_ratio", ["dd", "window_id"], p.cfg.ewma_alpha).select("level", "key", r("ewma"))
 
 
+@query(
+    "t5_ewma_small_alpha",
+    """select level, key, round(sum(case when back = n then pow(0.998e0, back - 1) else 0.002e0 * pow(0.998e0, back - 1) end * oir), 4) ewma from (
+      select level, key, oir, row_number() over (partition by level, key order by dd desc, window_id desc) back, count(*) over (partition by level, key) n from idle_lv) group by level, key""",
+)
+def _(p):
+    rows = baselines.idle_windows(_train(p)).select("operator_id", "task_type", "weather", "operator_skill", "dd", "window_id", "operator_idle_ratio")
+    return baselines.ewma_last(baselines.at_levels(rows), ["level", "key"], "operator_idle_ratio", ["dd", "window_id"], 0.002).select("level", "key", r("ewma"))
+
+
 @query("t5_idle_baselines", "select * from base_sql")
 def _(p):
     return baselines.idle_baselines(_train(p), p.cfg)

@@ -19,8 +19,8 @@ FRAME = [
 ]
 
 
-def without_replays(frames: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop frames of a machine whose seq was seen within the delay."""
+def unique_within(frames: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Drop frames of a machine whose seq was seen within the delay; later copies and frames out of order pass (see ``keyed.without_replays``)."""
     return frames.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["machine_id", "seq"])
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetstream.config import WINDOW_FEATURES
-from fleetstream.operators import anomaly, audit, knowledge
+from fleetstream.operators import anomaly, audit, baselines, knowledge
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +68,32 @@ def test_search_pads_with_zero_scores(spark):
     assert [r.chunk_id for r in sorted((r for r in got if r.query_id == "none"), key=lambda r: r["rank"])] == ["d0#h0", "d1#h1", "d2#h2"]
     with pytest.raises(ValueError):
         knowledge.check_unique(chunks.unionByName(chunks))
+
+
+def test_ewma_equals_the_plain_fold(spark):
+    rows, want = [], {}
+    for n in (1, 399, 400, 401, 3000):
+        values = [1.0] * (5 * n // 6) + [0.0] * (n - 5 * n // 6)
+        rows += [(str(n), i // 100, f"M{i % 100 // 10}:{i:05d}", v) for i, v in enumerate(values)]
+        want[str(n)] = values
+    d = spark.createDataFrame(rows, "key string, dd int, window_id string, v double")
+    for alpha in (0.1, 0.01, 0.002):
+        for parts in (None, [F.col("dd"), F.concat(F.substring_index("window_id", ":", 1), F.lit(":"))]):
+            got = {r.key: r.ewma for r in baselines.ewma_last(d, ["key"], "v", ["dd", "window_id"], alpha, parts).collect()}
+            for key, values in want.items():
+                fold = values[0]
+                for v in values[1:]:
+                    fold = alpha * v + (1 - alpha) * fold
+                assert abs(got[key] - fold) < 1e-12
+
+
+def test_forest_in_blocks_scores_the_same(cloud):
+    forest = anomaly.fit_forest(cloud, trees=12, sample=64, seed=3)
+    one, many = (anomaly.forest_scores(cloud, forest, n).select("window_id", "raw_score").toPandas().set_index("window_id")["raw_score"].sort_index() for n in (10**6, 150))
+    assert one.notna().any() and ((one - many).abs().fillna(0) < 1e-12).all() and (one.isna() == many.isna()).all()
+
+
+def test_medians_of_null_keys_and_keys_named_like_results(spark):
+    d = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 9.0), (None, 7.0)], "k string, v double")
+    got = {r.k: (r.n, r["median"], r.mad) for r in baselines.medians(d, ["k"], "v").collect()}
+    assert got == {"a": (2, 2.0, 1.0), None: (3, 7.0, 2.0)}

@@ -2,6 +2,7 @@
 
 import gzip
 import time
+from datetime import datetime
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -50,10 +51,21 @@ def test_dimensions(spark):
 
 
 def test_replays_dropped_in_stream(spark, pipe):
-    d = run.drain(native.without_replays(pipe.stream("arrivals")), "t_replays")
+    d = run.drain(native.unique_within(pipe.stream("arrivals")), "t_replays")
     assert d.count() == pipe.t("arrivals").select("machine_id", "seq").distinct().count()
 
 
+def test_frames_of_old_or_low_seq_dropped_in_stream(spark, tmp_path):
+    ddl = "machine_id string, seq long, ts timestamp"
+    parts = [[("a", 1, 0), ("a", 3, 1), ("a", 2, 2), ("b", 5, 0), (None, 1, 0)], [("a", 3, 90000), ("a", 4, 90001), ("b", 5, 90000), ("b", 6, 90002), (None, 1, 90000)]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame([(m, s, datetime.fromtimestamp(t)) for m, s, t in rows], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1 * (k == 0))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run.drain(keyed.without_replays(stream), "t_replays_state").collect()
+    assert sorted((str(r.machine_id), r.seq) for r in got) == [("None", 1), ("a", 1), ("a", 3), ("a", 4), ("b", 5), ("b", 6)]
+
+
 def test_silent_window_closes_by_timer(spark, pipe):
     cfg = replace(Config(), inactivity_s=2)
     d = pipe.stream("frames").where("machine_id = 'M00001'").select("machine_id", "seq", "ts")
