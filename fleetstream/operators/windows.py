@@ -91,6 +91,11 @@ def with_alert_counts(windows: DataFrame, events: DataFrame, cfg: Config = Confi
     return windows.join(counts, ["machine_id", "window_start"], "left").na.fill({"alerts_count": 0})
 
 
+def event_counts(events: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Events per machine, window and type: machine_id, window_start, type, n."""
+    return with_window(events, cfg).groupBy("machine_id", "window_start", "type").agg(F.count("*").alias("n"))
+
+
 def site_context(windows: DataFrame, context: DataFrame) -> DataFrame:
     """Context of each (site, window) at the window's end; one row per site and window."""
     needed = windows.select("site_id", "window_start", "window_end").distinct()

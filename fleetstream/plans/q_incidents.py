@@ -256,11 +256,7 @@ def _(p):
 
 @query("r5_window_history", "select window_id, machine_id, frame_count, primary_cause from (select f.*, a.primary_cause, row_number() over (partition by f.machine_id order by f.ws desc) rk from feat f left join (select window_id, primary_cause from attr) a using (window_id)) where rk <= 20")
 def _(p):
-    from pyspark.sql import Window
-
-    d = p.t("windows").join(p.t("attributed").select("window_id", "primary_cause"), "window_id", "left")
-    w = Window.partitionBy("machine_id").orderBy(F.col("window_start").desc())
-    return d.withColumn("rk", F.row_number().over(w)).where("rk <= 20").select("window_id", "machine_id", "frame_count", "primary_cause")
+    return readmodels.window_history(p.t("windows"), p.t("attributed"), 20).select("window_id", "machine_id", "frame_count", "primary_cause")
 
 
 @query("r5_cause_totals", "select cause, sum(s) AS seconds from (select unnest(['PLANNED','MACHINE','WEATHER','SITE','OPERATOR']) cause, unnest([s_planned, s_machine, s_weather, s_site, s_operator]) s from (select *, row_number() over (partition by machine_id order by ws desc) rk from attr) where rk <= 20) group by cause")
@@ -270,9 +266,7 @@ def _(p):
 
 @query("r6_operator_tasks", "select operator_id, count(*) tasks, count(*) filter (status = 'ACTIVE') active, sum(est_duration_minutes) AS minutes from tasks group by operator_id")
 def _(p):
-    return p.t("tasks").groupBy("operator_id").agg(
-        F.count("*").alias("tasks"), F.count_if(F.col("status") == "ACTIVE").alias("active"), F.sum("est_duration_minutes").alias("minutes")
-    )
+    return readmodels.operator_tasks(p.t("tasks"))
 
 
 @query("r6_site_tasks", "select task_id, site_id, status, est_duration_minutes from tasks where site_id in (select site_id from user_sites where user_id = 'SUP3')")

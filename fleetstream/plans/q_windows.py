@@ -260,8 +260,7 @@ def _(p):
 
 @query("j4_interval_count", "select machine_id, cast(floor(epoch(ts) / 30) * 30 as bigint) start_s, type, count(*) n from hot group by all")
 def _(p):
-    d = windows.with_window(p.t("hot_events"), p.cfg)
-    return d.groupBy("machine_id", SEC("window_start").alias("start_s"), "type").agg(F.count("*").alias("n"))
+    return windows.event_counts(p.t("hot_events"), p.cfg).select("machine_id", SEC("window_start").alias("start_s"), "type", "n")
 
 
 @query("j5_lookups", "select window_id, tt task_type, skill operator_skill from win_keys")
