@@ -141,10 +141,15 @@ def status_rows(steps: DataFrame) -> DataFrame:
     ).dropDuplicates(["incident_id", "entry_key", "first_ts"])
 
 
-def escalation_steps(rows: DataFrame) -> DataFrame:
+def escalation_steps(rows: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """Escalations as steps for the timeline. With the ``steps`` of a lifecycle, those that re-opened an incident say so."""
+    summary = F.concat(F.lit("Escalated to "), F.col("severity"))
+    if steps is not None:
+        before = steps.where("action = 'ESCALATE'").groupBy("incident_id", "ts").agg(F.min("from_status").alias("__from"))
+        rows = rows.join(before, ["incident_id", "ts"], "left")
+        summary = F.concat(summary, F.when(F.col("__from") == "ACKNOWLEDGED", " (re-opened from ACKNOWLEDGED)").otherwise(""))
     return rows.select(
-        "incident_id", F.lit("escalated").alias("step"), "ts", "severity",
-        F.concat(F.lit("Escalated to "), F.col("severity")).alias("summary"), F.lit(None).cast("string").alias("actor_id"),
+        "incident_id", F.lit("escalated").alias("step"), "ts", "severity", summary.alias("summary"), F.lit(None).cast("string").alias("actor_id"),
     )
 
 

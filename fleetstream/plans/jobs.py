@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 
 from fleetstream.config import Config
 from fleetstream.operators import (
-    alerts, anomaly, attribution, baselines, eta, explain, incidents, ingest, knowledge, packets, risk, safety, states, windows,
+    alerts, anomaly, attribution, baselines, eta, explain, incidents, ingest, knowledge, lifecycle, packets, risk, safety, states, windows,
 )
 from fleetstream.session import stage
 from fleetstream.sources.sinks import latest
@@ -58,11 +58,26 @@ def window_job(
     }
 
 
-def incident_job(events: DataFrame, risk_levels: DataFrame, window_rows: DataFrame, cfg: Config = Config()) -> dict[str, DataFrame]:
-    """Events (with an ``evidence`` map) to incidents, links, timeline and the work feed."""
-    linked = stage(incidents.with_risk_level(incidents.link_events(events, cfg), risk_levels), "job-linked")
-    rows = stage(incidents.with_task(incidents.incidents(linked), window_rows), "job-incidents")
-    steps = incidents.status_rows(incidents.escalation_steps(incidents.escalations(rows)))
+def incident_job(
+    events: DataFrame, risk_levels: DataFrame, window_rows: DataFrame, cfg: Config = Config(), actions: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Events (with an ``evidence`` map) to incidents, links, timeline and the work feed.
+
+    With ``actions`` (incident_id, ts, action, actor_id, note), closes end what
+    an incident holds, rows carry the status that the accepted actions leave,
+    and the timeline has their steps.
+    """
+    held = incidents.link_events(events, cfg) if actions is None else lifecycle.with_trigger(lifecycle.link_with_actions(events, actions, cfg))
+    linked = stage(incidents.with_risk_level(held, risk_levels), "job-linked")
+    rows = incidents.with_task(incidents.incidents(linked), window_rows)
+    if actions is None:
+        rows = stage(rows, "job-incidents")
+        steps = incidents.status_rows(incidents.escalation_steps(incidents.escalations(rows)))
+    else:
+        moves = stage(lifecycle.lifecycle(linked, actions), "job-moves")
+        rows = stage(lifecycle.final_status(moves, rows), "job-incidents")
+        raised = incidents.escalation_steps(incidents.escalations(rows), moves)
+        steps = incidents.status_rows(raised.unionByName(lifecycle.action_steps(moves, rows)))
     return {
         "linked": linked, "incidents": rows, "timeline": incidents.incident_timeline(linked, cfg).unionByName(steps), "work_feed": incidents.work_feed(rows),
     }

@@ -4,6 +4,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
+from fleetstream.operators import lifecycle
 from fleetstream.plans import jobs
 
 
@@ -30,3 +31,14 @@ def test_safety_windows_incidents_explanations(spark, pipe):
     )
     assert out["packets"].count() == n and out["explanations"].where("size(probable_causes) > 0 and lesson is not null").count() == n
     assert out["lessons"].count() == n
+    # the same with manual actions: statuses follow them, and an escalation of an acknowledged incident says so
+    acted = jobs.incident_job(pipe.t("feed"), pipe.t("risk_feed"), warm["windows"], cfg, pipe.t("actions"))
+    moves = lifecycle.lifecycle(acted["linked"], pipe.t("actions"))
+    last = {}
+    for r in sorted(moves.where("incident_id is not null").collect(), key=lambda r: (r.ts, {"ESCALATE": 0, "ACK": 1}.get(r.action, 2))):
+        last[r.incident_id] = r.to_status
+    rows = acted["incidents"].select("incident_id", "status").collect()
+    assert {r.status for r in rows} >= {"OPEN", "CLOSED"} and all(r.status == last.get(r.incident_id, "OPEN") for r in rows)
+    again = {(r.incident_id, r.ts) for r in moves.where("action = 'ESCALATE' and from_status = 'ACKNOWLEDGED'").collect()}
+    noted = {(r.incident_id, r.first_ts) for r in acted["timeline"].where("summary like '%(re-opened from ACKNOWLEDGED)'").collect()}
+    assert noted == again
