@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts may be long: Arrow batches of at most ``rows`` rows bound what a Python worker, and the executor feeding it, hold at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8; bytes.split() parts exactly at these six characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -25,6 +34,17 @@ def join_checked(big: DataFrame, small: DataFrame, on: str, how: str = "inner",
     return big.join(F.broadcast(small) if fits else small, on, how)
 
 
+_CACHE: dict = {}
+
+
+def worker_cache(name, make: Callable):
+    """The one large cache that a Python worker keeps between tasks; asking for another one drops it."""
+    if name not in _CACHE:
+        _CACHE.clear()
+        _CACHE[name] = make()
+    return _CACHE[name]
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that are never learned from: crc32 of the id as text is divisible by 5."""
     return F.crc32(doc_id.cast("string")) % 5 == 0
