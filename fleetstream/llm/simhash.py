@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetstream.llm.common import local_components, ranges
+from fleetstream.llm.common import local_components, ranges, worker_cache
 from fleetstream.llm.components import components
 from fleetstream.session import stage
 
@@ -45,6 +45,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("none", dict)  # what an earlier operator has left in this worker is not needed here
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])

@@ -5,15 +5,16 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from functools import lru_cache
 
 import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
+from fleetstream.llm.common import worker_cache
+
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Words whose ids a worker remembers; beyond that it starts anew.
-CACHED = 400_000
+CACHED = 250_000
 #: White space beside white space or at an end of the text: its place in the tokens depends on what is around.
 ODD = re.compile(r"\s\s|\A\s|\s\Z")
 
@@ -60,10 +61,10 @@ class Encoder:
             return self.plain(first) + b"".join([cache[w] for w in rest])
 
 
-@lru_cache(maxsize=1)
 def encoder(vocabulary: str | None = None, ranks: str | None = None) -> Encoder:
     """The encoder of this worker. Paths default to the files that the installed package names on each machine."""
-    return Encoder(vocabulary or public_tokenizers.path(VOCABULARY), ranks or public_tokenizers.path(RANKS))
+    paths = vocabulary or public_tokenizers.path(VOCABULARY), ranks or public_tokenizers.path(RANKS)
+    return worker_cache(paths, lambda: Encoder(*paths))
 
 
 def cut(length: int, most: int) -> list[tuple[int, int]]:
