@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetstream.llm import knn, lines, mixing, ngrams, packing, pages, simhash, substrings, toxicity
-from fleetstream.llm.common import table
+from fleetstream.llm.common import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -16,7 +16,11 @@ SQL: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 
@@ -50,8 +54,12 @@ WHERE rank <= 5
 
 @query
 def op3_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of each document that an earlier document has too."""
-    return substrings.shared_passages(table(spark, sf_dir, "documents"))
+    """Passages that a document shares with earlier ones: a row per document, with the documents it is linked to."""
+    found = substrings.shared_passages(table(spark, sf_dir, "documents"))
+    passage = F.struct("start", "end", "other_id", "other_start", "other_end", "similarity")
+    return found.groupBy("doc_id").agg(F.sort_array(F.collect_set("other_id")).alias("other_ids"), F.sort_array(F.collect_list(passage)).alias("passages")).select(
+        "doc_id", F.size("other_ids").cast("long").alias("n_links"), F.size("passages").cast("long").alias("n_passages"), "other_ids", "passages"
+    )
 
 
 @query
