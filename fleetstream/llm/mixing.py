@@ -184,7 +184,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS, seed:
     documents = stage(_numbered(placed(sizes), sources), "placed")
     drawn = slots(docs.sparkSession, sources, seed, shards)
     pieces = block_pieces(documents.select("doc_id", "tie", "source_no", "begin", "size")).withColumn("at", F.greatest(F.col("block") * BLOCK - F.col("begin"), F.lit(0)))
-    return documents, drawn.join(pieces, ["source_no", "block"]).drop("size")
+    # the plan takes the slots for as small as the list of shards they come from, so a broadcast is ruled out
+    return documents, drawn.hint("merge").join(pieces, ["source_no", "block"]).drop("size")
 
 
 def taken_words(documents: DataFrame, pieces: DataFrame) -> DataFrame:
