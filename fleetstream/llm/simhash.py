@@ -48,12 +48,13 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     worker_cache("none", dict)  # what an earlier operator has left in this worker is not needed here
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        more = batch.schema.names[2:]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *(batch.column(c) for c in more)], ["doc_id", "fp", *more])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row of ``docs``: fp holds the 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_prints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fp) for each row of ``docs``, and columns ``more`` of longs: fp holds the 64 bits as a signed long."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(_prints, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 
 def _keys():
@@ -163,6 +164,12 @@ def links(prints: DataFrame, tile: int = TILE) -> DataFrame:
     return grouped.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_links, "u long, v long")
 
 
+def _placed(nodes: DataFrame) -> DataFrame:
+    """Rows of distinct fingerprints (fp), with the root of their component."""
+    roots = stage(components(links(nodes)), "components").withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, its own included.
 
@@ -173,14 +180,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     prints = stage(fingerprints(docs), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = stage(components(links(nodes)), "components").withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = _placed(nodes)
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the smallest of its component; one row per doc_id, all columns kept."""
-    found = near_duplicates(docs)
-    kept = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+    """The first row of each component, all columns kept: that of the smallest doc_id, nulls last, then of the smallest hash of the row.
+
+    Rows are told apart by two hashes over all their columns, not by doc_id, which may be null or repeat.
+    """
+    columns = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    keyed = docs.withColumns({"__h": F.xxhash64(*columns), "__g": F.hash(*columns).cast("long")})
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__h", "__g")
+    nodes = stage(fingerprints(keyed, "__h", "__g").groupBy("fp").agg(F.min(row).alias("row")), "fingerprints")
+    kept = _placed(nodes).groupBy("root").agg(F.min("row").alias("row")).select("row.__h", "row.__g")
+    return keyed.join(kept, ["__h", "__g"], "left_semi").dropDuplicates(["__h", "__g"]).select(*docs.columns)

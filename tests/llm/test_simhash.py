@@ -84,6 +84,15 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_and_with_a_repeated_one(spark):
+    texts = [" ".join(random.Random(k).choices([f"word{i}" for i in range(500)], k=60)) for k in range(5)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (1, texts[2]), (2, texts[3]), (2, texts[4]), (3, texts[4]), (None, texts[1])]
+    wanted = sorted(map(str, [(None, texts[0]), (None, texts[1]), (1, texts[2]), (2, texts[3]), (2, texts[4])]))
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert sorted(str((r.doc_id, r.text)) for r in simhash.keep_one(docs).collect()) == wanted
+
+
 def test_hot_group_of_copies(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("the same words in each copy of this text")).otherwise(F.concat(F.lit("w"), F.col("id"), F.lit(" text "), F.col("id") * 7, F.lit(" of its own "), F.xxhash64("id"))).alias("text"))
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
