@@ -89,8 +89,9 @@ def explanation_job(
 ) -> dict[str, DataFrame]:
     """Incidents and documents to packets, template explanations and lessons."""
     chunks = stage(knowledge.chunk_documents(documents), "job-chunks")
-    index = knowledge.bm25_index(chunks)
-    index = (stage(index[0], "job-postings"), stage(index[1], "job-terms"))
+    postings, terms = (stage(t, name) for t, name in zip(knowledge.bm25_index(chunks), ("job-postings", "job-terms"), strict=True))
+    slices, weights = knowledge.search_index(postings, terms)
+    index = (stage(slices, "job-slices"), stage(weights, "job-weights"))
     state = latest(state_rows.select("machine_id", "ts", "seq", "state", "risk_level"), ["machine_id"], ["ts", "seq"])
     view = latest(window_rows, ["machine_id"], ["window_start"])
     found = stage(packets.incident_packets(incident_rows, timeline, events, machines, state, tasks, eta_rows, view, chunks, index, as_of, cfg), "job-packets")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetstream.functions import text
 from fleetstream.functions.ids import incident_id, lesson_id
-from fleetstream.operators import audit, explain, grounding, incidents, knowledge, lifecycle, packets, states
+from fleetstream.operators import audit, explain, grounding, incidents, knowledge, lifecycle, packets, retrieval, states
 from fleetstream.plans.oracle import cte
 from fleetstream.plans.pipeline import stage_table
 from fleetstream.plans.q_ingest import uuid5_sql
@@ -41,6 +41,16 @@ def _terms(p):
     return knowledge.bm25_index(p.t("chunks"))[1]
 
 
+@stage_table("slices")
+def _slices(p):
+    return knowledge.search_index(p.t("postings"), p.t("terms"))[0]
+
+
+@stage_table("weights")
+def _weights(p):
+    return knowledge.search_index(p.t("postings"), p.t("terms"))[1]
+
+
 def _latest_windows(p):
     d = p.t("deviations").select(
         "machine_id", "window_start", "weather", "ground", "s_planned", "s_machine", "s_weather", "s_site", "s_operator", "primary_cause", "operator_deviation_flag"
@@ -56,7 +66,7 @@ def _packets(p):
     state = latest(p.t("risk_levels").select("machine_id", "ts", "seq", "state", "risk_level"), ["machine_id"], ["ts", "seq"])
     return packets.incident_packets(
         p.t("incidents"), p.t("timeline"), p.t("feed"), p.t("machines"), state, p.t("tasks"), est, _latest_windows(p), p.t("chunks"),
-        (p.t("postings"), p.t("terms")), _now(), p.cfg,
+        (p.t("slices"), p.t("weights")), _now(), p.cfg,
     )
 
 
@@ -132,7 +142,15 @@ def _(p):
 @query("k4_search", "select query_id, cast(rk as int) rank, chunk_id, round(score, 6) score from found where rk <= 5")
 def _(p):
     q = p.t("searches").select("query_id", "query", F.array("tag").alias("tags"))
-    return knowledge.bm25_search(q, p.t("chunks"), (p.t("postings"), p.t("terms")), 5).select("query_id", "rank", "chunk_id", r("score", 6))
+    return knowledge.bm25_search(q, p.t("chunks"), (p.t("slices"), p.t("weights")), 5).select("query_id", "rank", "chunk_id", r("score", 6))
+
+
+@query("k4_index", "select term, count(*) chunks, round(max(tf_factor), 6) top, round(sum(tf_factor), 5) factor from posts group by term")
+def _(p):
+    c = F.col
+    d = p.t("slices").where(~c("term").startswith(retrieval.TAG) & (c("term") != retrieval.IDS)).select("term", F.explode("blocks").alias("b"))
+    d = d.select("term", "b.top", F.size("b.postings").alias("n"), F.aggregate("b.postings", F.lit(0.0), lambda a, x: a + x["impact"]).alias("f"))
+    return d.groupBy("term").agg(F.sum("n").alias("chunks"), F.round(F.max("top"), 6).alias("top"), F.round(F.sum("f"), 5).alias("factor"))
 
 
 cte("bnd0", "select *, row_number() over (partition by incident_id order by first_ts, entry_key) r, count(*) over (partition by incident_id) n from tl")

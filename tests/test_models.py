@@ -63,7 +63,7 @@ def test_search_pads_with_zero_scores(spark):
     docs = [(f"d{i}", f"## H{i}\n" + ("alpha beta " if i == 3 else "gamma ") * 3) for i in range(6)]
     chunks = knowledge.chunk_documents(spark.createDataFrame(docs, "file_stem string, raw string"))
     q = spark.createDataFrame([("q", "alpha", ["X"]), ("none", "zzz", [])], "query_id string, query string, tags array<string>")
-    got = knowledge.bm25_search(q, chunks, knowledge.bm25_index(chunks), 3, pad=True).collect()
+    got = knowledge.bm25_search(q, chunks, knowledge.search_index(*knowledge.bm25_index(chunks)), 3, pad=True).collect()
     assert [r.chunk_id for r in sorted((r for r in got if r.query_id == "q"), key=lambda r: r["rank"])] == ["d3#h3", "d0#h0", "d1#h1"]
     assert [r.chunk_id for r in sorted((r for r in got if r.query_id == "none"), key=lambda r: r["rank"])] == ["d0#h0", "d1#h1", "d2#h2"]
     with pytest.raises(ValueError):
