@@ -117,7 +117,7 @@ def _paths(tree: list[DataFrame], roots: DataFrame, *more: str) -> DataFrame:
 
 @dataclass
 class Manifest:
-    """Leaves with their places, the subroot of each source, and the root (one row, none for an empty table)."""
+    """Leaves with their places, the subroot of each source, and the root (one row of key '' and h, none for an empty table)."""
 
     leaves: DataFrame
     subroots: DataFrame
@@ -127,7 +127,7 @@ class Manifest:
 
     def proofs(self) -> DataFrame:
         """(key, pos, h, columns of the leaves, subroot, root, path): ``path`` holds (left, right) sibling digests per level, leaf to root."""
-        whole = self.root.select(F.lit("").alias("key"), F.col("h").alias("root"))
+        whole = self.root.select("key", F.col("h").alias("root"))
         empty = F.array().cast("array<struct<left:string,right:string>>")
         over = _paths(self.top, whole.withColumn("path", empty), "of")
         roots = over.select(F.col("of").alias("key"), "path", F.col("h").alias("subroot"), "root")
@@ -147,7 +147,7 @@ def build(leaves: DataFrame, *order: str) -> Manifest:
     for level in tree[1:]:
         single = single.union(level.filter("n = 1").select("key", "h"))
     top = levels(placed(single.select(F.lit("").alias("key"), F.col("key").alias("of"), "h"), "key", "of"))
-    return Manifest(base, single, top[-1].filter("n = 1").select("h"), tree, top)
+    return Manifest(base, single, top[-1].filter("n = 1").select("key", "h"), tree, top)
 
 
 def folded(start: Column, path: Column | str) -> Column:
