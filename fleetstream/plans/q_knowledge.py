@@ -499,19 +499,81 @@ def _linked_actions(p):
     return incidents.with_risk_level(lifecycle.link_with_actions(p.t("feed"), p.t("actions"), p.cfg), p.t("risk_feed"))
 
 
-@query("c7_incidents_with_closes")
+cte(
+    "acts",
+    f"""select incident_id, action, 'SUP' || (frame_seq % 7) actor_id, date_trunc('second', ts) + to_seconds(wait) ts, note from (
+      select *, {uuid5_sql("'incident:'||machine_id||':'||event_id")} incident_id from (
+        select *, 'ACK' AS action, reading % 60 wait, null note from event_feed where severity <> 'INFO' and frame_seq % 4 = 0
+        union all select *, 'CLOSE', 60 + reading % 240, 'note ' || event_id from event_feed where severity <> 'INFO' and frame_seq % 6 = 0))""",
+)
+# events of a machine one by one: an incident takes all until it is closed or the gap is too long
+cte(
+    "aev",
+    """select machine_id, event_id, ts, case severity when 'CRITICAL' then 2 when 'WARNING' then 1 else 0 end rk, row_number() over (partition by machine_id order by ts, event_id) n,
+      case when severity <> 'INFO' and frame_seq % 6 = 0 then date_trunc('second', ts) + to_seconds(60 + reading % 240) end close_ts from event_feed""",
+)
+cte(
+    "awalk",
+    """/*recursive*/ select machine_id, n, event_id, ts, rk, case when rk >= 1 then event_id end opener, case when rk >= 1 then ts end ots, case when rk >= 1 then rk end ork, case when rk >= 1 then close_ts end oclose, ts last_ts
+      from aev where n = 1
+      union all select machine_id, n, event_id, ts, rk, case when alive then opener when rk >= 1 then event_id end, case when alive then ots when rk >= 1 then ts end, case when alive then ork when rk >= 1 then rk end,
+        case when alive then oclose when rk >= 1 then close_ts end, ts from (
+        select e.*, w.opener, w.ots, w.ork, w.oclose, w.opener is not null and (w.oclose is null or e.ts <= w.oclose) and epoch(e.ts) - epoch(w.last_ts) <= 300 alive
+        from awalk w join aev e on e.machine_id = w.machine_id and e.n = w.n + 1)""",
+)
+cte(
+    "alnk",
+    f"""select *, {uuid5_sql("'incident:'||machine_id||':'||opener")} incident_id from (
+      select machine_id, event_id, ts, rk, opener, ots, ork, oclose, case when event_id = opener then 'OPEN' else 'EXTEND' end AS role from awalk where opener is not null
+      union all select u.machine_id, u.event_id, u.ts, u.rk, o.opener, o.ots, o.ork, null, 'LOOKBACK' from awalk u join awalk o on o.machine_id = u.machine_id and o.event_id = o.opener
+        and o.ts > u.ts and epoch(o.ts) - epoch(u.ts) <= 300 where u.opener is null qualify row_number() over (partition by u.machine_id, u.event_id order by o.n) = 1)""",
+)
+cte(
+    "aper",
+    """select incident_id, any_value(ots) opened_at, min((ts, event_id)) filter (role = 'EXTEND' and rk = 2 and ork < 2) rise, min((ts, event_id)) filter (role = 'EXTEND' and risk_level = 'HIGH') high
+      from (select l.*, coalesce(r.risk_level, 'NORMAL') risk_level from (select * from alnk where role <> 'LOOKBACK') l asof left join risk_feed r on l.machine_id = r.machine_id and l.ts >= r.ts) group by incident_id""",
+)
+cte(
+    "asteps",
+    """select *, row_number() over (partition by incident_id order by ts, o, actor_id, note) n, coalesce(ts >= opened_at, false) counts from (
+      select incident_id, opened_at, rise[1] ts, 'ESCALATE' AS action, null actor_id, null note, 0 o from aper where rise is not null
+      union all select incident_id, opened_at, high[1], 'ESCALATE', null, null, 0 from aper where high is not null and (rise is null or high < rise)
+      union all select a.incident_id, p.opened_at, a.ts, a.action, a.actor_id, a.note, case a.action when 'ACK' then 1 else 2 end from acts a left join aper p using (incident_id))""",
+)
+cte(
+    "amoves",
+    """/*recursive*/ select incident_id, 0::bigint n, null::timestamp ts, null::varchar action, null::varchar actor_id, null::varchar note, 'OPEN' from_status, 'OPEN' to_status, false accepted from (select distinct incident_id from asteps)
+      union all select s.incident_id, s.n, s.ts, s.action, s.actor_id, s.note, m.to_status,
+        case when not s.counts or m.to_status = 'CLOSED' then m.to_status when s.action = 'CLOSE' then 'CLOSED' when s.action = 'ACK' then 'ACKNOWLEDGED' else 'OPEN' end,
+        s.counts and case when s.action = 'ACK' then m.to_status = 'OPEN' else m.to_status <> 'CLOSED' end
+      from amoves m join asteps s on s.incident_id = m.incident_id and s.n = m.n + 1""",
+)
+
+
+@query("c7_incidents_with_closes", "select incident_id, count(*) events, cast(epoch(max(oclose)) as bigint) closed_s from alnk group by incident_id")
 def _(p):
     d = lifecycle.link_with_actions(p.t("feed"), p.t("actions"), p.cfg)
     return d.groupBy("incident_id").agg(F.count("*").alias("events"), SEC(F.max("closed_at")).alias("closed_s"))
 
 
-@query("c7_status_steps")
+@query("c7_status_steps", "select incident_id, cast(epoch(ts) as bigint) ts_s, action, from_status, to_status, accepted from amoves where n > 0")
 def _(p):
     d = lifecycle.lifecycle(p.t("linked_actions"), p.t("actions"))
     return d.select("incident_id", SEC("ts").alias("ts_s"), "action", "from_status", "to_status", "accepted")
 
 
-@query("c9_action_rows")
+@query("c7_final_status", "select status, count(*) n from (select coalesce(arg_max(to_status, n), 'OPEN') status from aper left join amoves using (incident_id) group by incident_id) group by status")
+def _(p):
+    opened = p.t("linked_actions").select("incident_id").distinct()
+    d = lifecycle.final_status(lifecycle.lifecycle(p.t("linked_actions"), p.t("actions")), opened)
+    return d.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(
+    "c9_action_rows",
+    """select distinct m.incident_id, 'status:' || case action when 'ACK' then 'acknowledged' else 'closed' end || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%S') entry_key, i.severity,
+      case action when 'ACK' then 'Acknowledged by supervisor' else 'Closed: ' || coalesce(note, '') end summary, actor_id from amoves m left join inc i using (incident_id) where accepted and action <> 'ESCALATE'""",
+)
 def _(p):
     steps = lifecycle.lifecycle(p.t("linked_actions"), p.t("actions"))
     rows = incidents.status_rows(lifecycle.action_steps(steps, p.t("incidents")))
