@@ -33,14 +33,16 @@ def precision_recall(rows: DataFrame, truth: str = "is_anomaly", predicted: str
     return d.withColumn("f1", ratio_or_zero(2 * c("precision") * c("recall"), c("precision") + c("recall")))
 
 
-def pr_auc(rows: DataFrame, truth: str, score: str, key: str, ranges: int = 16) -> DataFrame:
+def pr_auc(rows: DataFrame, truth: str, score: str, key: str, ranges: int | None = None) -> DataFrame:
     """Area under precision over recall by the trapezoid rule, rows by score descending, ties by key.
 
     Rows are range-partitioned on (score, key), so equal scores are spread too;
-    counts of earlier ranges are carried as one row per range.
+    counts of earlier ranges are carried as one row per range. Without
+    ``ranges``, their number follows the session and the size of the table.
     """
     d = rows.select((-F.col(score)).alias("__neg"), F.col(key).alias("__key"), F.col(truth).cast("int").alias("__y"))
-    d = stage(d.repartitionByRange(ranges, "__neg", "__key").withColumn("__chunk", F.spark_partition_id()), "ranked")
+    cut = d.repartitionByRange("__neg", "__key") if ranges is None else d.repartitionByRange(ranges, "__neg", "__key")
+    d = stage(cut.withColumn("__chunk", F.spark_partition_id()), "ranked")
     d = scan(d, [], "__chunk", ["__neg", "__key"], sums={"__n": F.lit(1).cast("long"), "__tp": F.col("__y").cast("long")})
     c = F.col
     here = c("__tp") / c("__n")

@@ -24,6 +24,12 @@ def _col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def null_free(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Adds columns to group, sort and join by instead of ``keys``, in which a NULL is a value like any other."""
+    names = {f"__key{i}": F.coalesce(F.col(k).cast("string"), F.lit("\0null")) for i, k in enumerate(keys)}
+    return df.withColumns(names) if keys else df, list(names)
+
+
 def seconds(ts: str | Column) -> Column:
     return F.unix_micros(_col(ts).cast("timestamp")) / F.lit(1e6)
 
@@ -50,8 +56,10 @@ def scan(
     ``sums``, ``maxs``, ``mins``, ``lasts`` (last non-null value); ``prevs`` are
     values of the row before (NULL on the first row of a key); ``prior_maxs``
     are maxima over the rows before; ``sinces`` count the rows after the latest
-    row where a condition held (all rows so far if it never did).
+    row where a condition held (all rows so far if it never did). Rows whose key
+    is NULL are a key of their own.
     """
+    df, keys = null_free(df, keys)
     sums, maxs, mins, lasts, prevs = sums or {}, maxs or {}, mins or {}, lasts or {}, prevs or {}
     prior_maxs, sinces = prior_maxs or {}, sinces or {}
     local = Window.partitionBy(*keys, chunk).orderBy(*order)
@@ -117,7 +125,7 @@ def scan(
         joined = joined.withColumn("__rn", F.row_number().over(local))
         hit = F.max(F.when(cond, F.col("__rn"))).over(upto)
         out[name] = F.when(hit.isNotNull(), F.col("__rn") - hit).otherwise(F.col("__rn") + F.col(CARRY + name))
-    return joined.withColumns(out).drop("__rn", *[c for c in joined.columns if c.startswith(CARRY)])
+    return joined.withColumns(out).drop("__rn", *keys, *[c for c in joined.columns if c.startswith(CARRY)])
 
 
 def numbered(df: DataFrame, keys: list[str], chunk: str, order: list[str], name: str = "seq") -> DataFrame:
@@ -169,30 +177,55 @@ def gap_sessions(
     return d.select(*df.columns, *[v.alias(k) for k, v in out.items()])
 
 
+#: Distinct values of a key that one task ranks, about; most ranges of a key.
+RANGE_ROWS, MOST_RANGES = 50_000, 4096
+
+
+def _range_cuts(counted: DataFrame, keys: list[str], range_rows: int) -> DataFrame:
+    """keys, __cuts (rising, empty for a key of at most ``range_rows`` values), __n (rows) from values (__v) with counts (__c).
+
+    The cuts come from a mergeable sketch, as many as the values ask for; a
+    sketch of a small key is small, and is never turned into cuts.
+    """
+    agg = counted.groupBy(*keys).agg(
+        F.kll_sketch_agg_double(F.col("__v").cast("double"), F.lit(4 * MOST_RANGES)).alias("__s"), F.count("*").alias("__d"), F.sum("__c").alias("__n")
+    )
+    ranges = F.least(F.ceil(F.col("__d") / range_rows), F.lit(MOST_RANGES)).cast("int")
+    grid = F.array(*[F.lit(i / MOST_RANGES) for i in range(1, MOST_RANGES)])
+    chosen = F.transform(F.sequence(F.lit(1), ranges - 1), lambda i: F.element_at("__q", (i * MOST_RANGES / ranges).cast("int")))
+    d = agg.withColumn("__q", F.when(F.col("__d") > range_rows, F.kll_sketch_get_quantile_double("__s", grid)))
+    return d.select(*keys, F.when(F.col("__q").isNotNull(), F.array_distinct(chosen)).otherwise(F.array().cast("array<double>")).alias("__cuts"), "__n")
+
+
+def _range_of(value: Column, cuts: str) -> Column:
+    """Number of cuts below the value: first among every 64th of them, then among the 64 that follow."""
+    below = lambda part: F.size(F.filter(part, lambda c: c < value))
+    coarse = below(F.filter(cuts, lambda c, i: i % 64 == 63))
+    return coarse * 64 + below(F.slice(cuts, coarse * 64 + 1, F.lit(63)))
+
+
 def grid_quantiles(
-    df: DataFrame, keys: list[str], value: str, steps: int, wanted: list[int] | None = None, buckets: int = 64,
+    df: DataFrame, keys: list[str], value: str, steps: int, wanted: list[int] | None = None, range_rows: int = RANGE_ROWS,
     weight: str | None = None, step: str = "k",
 ) -> DataFrame:
     """Exact quantiles k/steps per key with linear interpolation, for groups of any size.
 
-    Equal values are counted before the shuffle; each key is then cut into value
-    ranges by approximate quantiles, so that no task holds a whole key. Returns
+    Equal values are counted before the shuffle; a key with more than
+    ``range_rows`` of them is then cut into ranges of about that many, so that
+    no task holds a whole key. Returns
     one row per key and quantile: its number (column ``step``), n and ``q``.
     ``weight`` counts a row several times.
     """
     rows = F.count("*") if weight is None else F.sum(weight)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(rows.alias("__c"))
-    cuts = [i / buckets for i in range(1, buckets)]
-    splits = counted.groupBy(*keys).agg(
-        F.percentile_approx("__v", cuts, F.lit(1000)).alias("__cuts"), F.sum("__c").alias("__n")
-    )
+    splits = _range_cuts(counted, keys, range_rows)
     # null-safe join: a key of a grouping set is NULL when rolled up
     if keys:
         joined = counted.alias("a").join(splits.alias("b"), _same("a", "b", keys)).select("a.*", "b.__cuts", "b.__n")
     else:
         one = splits.select(F.struct("__cuts", "__n")).scalar()
         joined = counted.withColumn("__s", one).select("*", "__s.*").drop("__s")
-    ranged = joined.withColumn("__b", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
+    ranged = joined.withColumn("__b", _range_of(F.col("__v").cast("double"), "__cuts")).drop("__cuts")
     before = (
         ranged.groupBy(*keys, "__b").agg(F.sum("__c").alias("__bc"))
         .withColumn(
@@ -263,9 +296,11 @@ def asof_join(
     Both sides are cut into time buckets. Each bucket knows the row carried in
     from earlier ones, so the join is an equi-join on (key, bucket) with an
     interval filter; a hot key is spread over its buckets. ``right`` must have
-    at most one row per key and time.
+    at most one row per key and time. A NULL key meets a NULL key.
     """
-    lhs = left.withColumn("__bk", time_chunk(left_ts, bucket_s))
+    names = keys
+    lhs, keys = null_free(left.withColumn("__bk", time_chunk(left_ts, bucket_s)), names)
+    right, _ = null_free(right, names)
     rhs = right.select(*keys, F.col(right_ts).cast("timestamp").alias("__from"), F.struct(*values).alias("__val"))
     rhs = rhs.withColumn("__bk", time_chunk("__from", bucket_s))
     needed = lhs.select(*keys, "__bk").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetstream.config import Config
-from fleetstream.operators.scan import asof_join, scan
+from fleetstream.operators.scan import null_free, asof_join, scan
 
 CONTEXT_COLUMNS = ["weather", "rainfall_mm_h", "visibility_m", "ambient_temp_c", "wind_kmh", "ground", "daylight"]
 
@@ -80,10 +80,10 @@ def machine_states(frames: DataFrame, cfg: Config = Config()) -> DataFrame:
         definite.isNull() & (c("engine_rpm") > 0) & (c("engine_rpm") < 1000)
         & (c("hydraulic_pressure_bar") < 50) & (c("speed_kmh") < 0.5)
     )
-    w = Window.partitionBy("machine_id", "__chunk").orderBy("seq")
+    w = Window.partitionBy("__key0", "__chunk").orderBy("seq")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
 
-    rows = frames.withColumns({"__chunk": seq_chunk(cfg), "__def": definite, "__idle": idle}).withColumn("__rn", F.row_number().over(w))
+    rows = null_free(frames, ["machine_id"])[0].withColumns({"__chunk": seq_chunk(cfg), "__def": definite, "__idle": idle}).withColumn("__rn", F.row_number().over(w))
     rows = rows.withColumns({
         "__stop": F.max(F.when(~c("__idle"), c("__rn"))).over(upto),
         "__seg": F.coalesce(F.max(F.when(c("__def").isNotNull(), c("__rn"))).over(upto), F.lit(0)),
@@ -93,7 +93,7 @@ def machine_states(frames: DataFrame, cfg: Config = Config()) -> DataFrame:
     })
 
     known = F.coalesce(c("__def"), F.when(c("__run") >= dwell, "IDLE"))
-    summary = rows.groupBy("machine_id", "__chunk").agg(
+    summary = rows.groupBy("__key0", "__chunk").agg(
         F.count("*").alias("n"),
         F.count_if("__lead").alias("lead"),
         F.max("__stop").alias("stop"),
@@ -101,7 +101,7 @@ def machine_states(frames: DataFrame, cfg: Config = Config()) -> DataFrame:
         F.max("__seg").alias("seg"),
         F.max(F.when(known == "IDLE", F.struct(c("__seg").alias("seg"), (-c("__rn")).alias("neg")))).alias("idle_from"),
     )
-    over = Window.partitionBy("machine_id").orderBy("__chunk")
+    over = Window.partitionBy("__key0").orderBy("__chunk")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     s = summary.withColumn("total", F.sum("n").over(over))
     s = s.withColumn(
@@ -121,9 +121,9 @@ def machine_states(frames: DataFrame, cfg: Config = Config()) -> DataFrame:
     s = s.withColumn(
         "ticks_in", F.coalesce(c("total") - c("n") + F.last("ticks_at", ignorenulls=True).over(before), F.lit(0))
     )
-    carry = s.select("machine_id", "__chunk", "run_in", "state_in", "ticks_in")
+    carry = s.select("__key0", "__chunk", "run_in", "state_in", "ticks_in")
 
-    d = rows.join(carry, ["machine_id", "__chunk"])
+    d = rows.join(carry, ["__key0", "__chunk"])
     run = c("__run") + F.when(c("__lead"), c("run_in")).otherwise(0)
     d = d.withColumn("__known", F.coalesce(c("__def"), F.when(run >= dwell, "IDLE")))
     d = d.withColumn("state", F.coalesce(F.last("__known", ignorenulls=True).over(upto), c("state_in")))

@@ -65,7 +65,7 @@ def test_grid_quantiles_are_exact(spark):
     pdf.loc[pdf["k"] == "one", "k"] = "b"
     pdf.loc[0, "k"] = "one"
     df = spark.createDataFrame(pdf)
-    got = grid_quantiles(df.withColumnRenamed("k", "g"), ["g"], "v", 10, buckets=8).collect()
+    got = grid_quantiles(df.withColumnRenamed("k", "g"), ["g"], "v", 10, range_rows=8).collect()
     assert len(got) == 3 * 11
     for r in got:
         assert abs(r.q - np.quantile(pdf.loc[pdf["k"] == r.g, "v"], r.k / 10)) < 1e-9
