@@ -28,7 +28,7 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: str, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_checked(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join with ``small`` broadcast if a count shows that it has at most ``rows`` rows, else by shuffling; same result."""
     fits = small.select(on).limit(rows + 1).count() <= rows
     return big.join(F.broadcast(small) if fits else small, on, how)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetstream.llm import knn, lines, merkle, minhash, mixing, ngrams, packing, pages, simhash, substrings, toxicity, whitening
 from fleetstream.llm.common import small_batches, table
+from fleetstream.session import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,12 +55,16 @@ WHERE rank <= 5
 
 @query
 def op3_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that a document shares with earlier ones: a row per document, with the documents it is linked to."""
-    found = substrings.shared_passages(table(spark, sf_dir, "documents"))
+    """A row per document: how many documents it shares passages with, the earlier ones of them, and the passages shared with these."""
+    docs = table(spark, sf_dir, "documents")
+    found = stage(substrings.shared_passages(docs), "op3-passages")
     passage = F.struct("start", "end", "other_id", "other_start", "other_end", "similarity")
-    return found.groupBy("doc_id").agg(F.sort_array(F.collect_set("other_id")).alias("other_ids"), F.sort_array(F.collect_list(passage)).alias("passages")).select(
-        "doc_id", F.size("other_ids").cast("long").alias("n_links"), F.size("passages").cast("long").alias("n_passages"), "other_ids", "passages"
-    )
+    own = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("other_id")).alias("other_ids"), F.sort_array(F.collect_list(passage)).alias("passages"))
+    pairs = found.select("doc_id", "other_id").distinct()
+    partners = pairs.select("doc_id").union(pairs.select("other_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_links"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(partners, "doc_id", "left").join(own, "doc_id", "left")
+    none = lambda name: F.coalesce(name, F.array().cast(own.schema[name].dataType)).alias(name)
+    return rows.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.size("passages"), F.lit(0)).cast("long").alias("n_passages"), none("other_ids"), none("passages"))
 
 
 @query

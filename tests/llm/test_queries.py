@@ -56,9 +56,15 @@ def test_rows_equal_those_of_the_sql(spark, name):
 
 
 def test_links_of_documents(spark):
-    for r in queries.QUERIES["op3_collinear_passages"](spark, SF).collect():
-        assert r.n_links == len(r.other_ids) == len({p.other_id for p in r.passages}) and r.n_passages == len(r.passages)
+    found = queries.QUERIES["op3_collinear_passages"](spark, SF).collect()
+    partners = {}
+    for r in found:
+        assert r.n_passages == len(r.passages) and len(r.other_ids) == len({p.other_id for p in r.passages})
         assert all(i < r.doc_id for i in r.other_ids)
+        for i in r.other_ids:
+            partners.setdefault(r.doc_id, set()).add(i)
+            partners.setdefault(i, set()).add(r.doc_id)
+    assert len(found) == table(spark, SF, "documents").count() and all(r.n_links == len(partners.get(r.doc_id, ())) for r in found)
 
 
 def test_the_rest_imports_without_this_part():
