@@ -119,9 +119,15 @@ def score_quantiles(scores: DataFrame, score: str = "score") -> DataFrame:
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """Order-insensitive hash of all rows, as text."""
-    total = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
-    return df.agg(F.count("*").alias("n"), F.substring(F.sha2(total.cast("string"), 256), 1, 8).alias("content_hash"))
+    """Order-insensitive hash of all rows: n and content_hash, the MD5 of the sum of the rows' own.
+
+    A row's text joins its columns by name with ``|``; NULL is ``~``, and floating
+    numbers are given in whole millionths. Sums are partial per task.
+    """
+    fraction = {"double", "float"}
+    text = [F.coalesce((F.floor(F.col(c) * 1e6 + 0.5) if kind in fraction else F.col(c)).cast("string"), F.lit("~")) for c, kind in sorted(df.dtypes)]
+    total = F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", *text)), 1, 15), 16, 10).cast("decimal(38,0)"))
+    return df.agg(F.count("*").alias("n"), F.substring(F.md5(F.coalesce(total, F.lit(0)).cast("string")), 1, 8).alias("content_hash"))
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, k: int, seed: int) -> DataFrame:

@@ -438,7 +438,20 @@ def _(p):
     return baselines.score_quantiles(d).select("k", r("q", 6))
 
 
-@query("t8_content_hash")
+_TEXT = ", ".join(
+    f"coalesce(cast({c} as varchar), '~')" if c not in ("actual_min", "ambient_temp_c", "hauler_queue_mean", "planner_estimate_min", "rainfall_mm_h", "visibility_m", "wind_kmh")
+    else f"coalesce(cast(cast(floor({c} * 1e6 + 0.5e0) as bigint) as varchar), '~')"
+    for c in sorted([
+        "task_id", "dd", "operator_id", "task_type", "target_cycles", "weather", "ground", "operator_skill", "machine_type", "machine_age_years", "rainfall_mm_h",
+        "visibility_m", "wind_kmh", "ambient_temp_c", "hauler_queue_mean", "actual_min", "planner_estimate_min",
+    ])
+)
+
+
+@query(
+    "t8_content_hash",
+    f"""select count(*) n, substr(md5(cast(sum(cast(('0x' || substr(md5(concat_ws('|', {_TEXT})), 1, 15))::bigint as hugeint)) as varchar)), 1, 8) content_hash from hist_tasks""",
+)
 def _(p):
     return baselines.content_hash(p.t("hist_tasks"))
 

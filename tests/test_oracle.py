@@ -9,8 +9,6 @@ from scripts.check import rows
 from tests.conftest import SF
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-# fitted with many small jobs; covered by the benchmark run
-SLOW = {"e3_model_errors"}
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +24,7 @@ def test_sql_only_for_registered_queries():
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
