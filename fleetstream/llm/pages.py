@@ -17,15 +17,16 @@ from fleetstream.llm.common import bounded_sample
 from fleetstream.llm.crf import ChainCrf, Sequences
 
 #: Fixed values of HTML: elements that run in a line of text, have no end tag, hold no page text, and end an open paragraph.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template textarea select option button svg math iframe object title head canvas audio video".split())
+SILENT = frozenset("script style noscript template textarea select option button svg annotation iframe title head canvas audio video".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 BLOCKS = frozenset("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 MARKED = re.compile(r"(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 NAME = re.compile(r"[a-z]+")
 
 #: Space of the hashed features; pages of the table the field is fitted on, at most.
@@ -53,6 +54,18 @@ class _Open:
     inline: bool = field(default=False)
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an element is hidden: by the attribute of that name, by aria-hidden, or by its style; words in other values don't count."""
+    low = attributes.lower()
+    if "hidden" not in low and "none" not in low:
+        return False
+    for name, *values in ATTRIBUTE.findall(low):
+        value = "".join(values).strip()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Leaf blocks with visible text, in page order.
 
@@ -124,7 +137,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         found = MARKED.findall(m[3]) if m[3] else []
         names = frozenset(w for kind, *v in found if kind.lower() != "data-label" for w in NAME.findall("".join(v).lower()))
         mark = next(("".join(v) for kind, *v in found if kind.lower() == "data-label"), "")
-        silent = tag in SILENT or bool(stack and stack[-1].silent) or bool(m[3] and HIDDEN.search(m[3]))
+        silent = tag in SILENT or bool(stack and stack[-1].silent) or bool(m[3] and _hidden(m[3]))
         if m[3].rstrip().endswith("/") and tag not in BLOCKS and not inline and tag not in RAW:
             continue
         if tag in RAW:  # nothing inside is markup

@@ -74,3 +74,11 @@ def test_odd_rows(spark, crf):
     assert by[5].text == " ".join(["A sentence of words, with a point."] * 20000) and by[None].text == "Text of no id, as it is."
     assert pages.main_text(frame.limit(0), crf).count() == 0
     assert pages.train(frame.limit(0)).weights.any()
+
+
+def test_only_hidden_elements_are_hidden():
+    page = (
+        '<article><p title="the hidden truth">one</p><p class="card hidden lg">two</p><p>before <math><mi>x</mi><mo>=</mo><mn>2</mn></math> after</p>'
+        '<p data-x="display: none">three</p><p hidden>no</p><p HIDDEN="">no</p><p aria-hidden=true>no</p><p style="color:red; display : none">no</p><object><p>four</p></object></article>'
+    )
+    assert [b.text for b in pages.leaf_blocks(page)] == ["one", "two", "before x=2 after", "three", "four"]
