@@ -191,7 +191,8 @@ def _range_cuts(counted: DataFrame, keys: list[str], range_rows: int) -> DataFra
         F.kll_sketch_agg_double(F.col("__v").cast("double"), F.lit(4 * MOST_RANGES)).alias("__s"), F.count("*").alias("__d"), F.sum("__c").alias("__n")
     )
     ranges = F.least(F.ceil(F.col("__d") / range_rows), F.lit(MOST_RANGES)).cast("int")
-    grid = F.array(*[F.lit(i / MOST_RANGES) for i in range(1, MOST_RANGES)])
+    # one literal: thousands of them would slow planning down
+    grid = F.split(F.lit(",".join(str(i / MOST_RANGES) for i in range(1, MOST_RANGES))), ",").cast("array<double>")
     chosen = F.transform(F.sequence(F.lit(1), ranges - 1), lambda i: F.element_at("__q", (i * MOST_RANGES / ranges).cast("int")))
     d = agg.withColumn("__q", F.when(F.col("__d") > range_rows, F.kll_sketch_get_quantile_double("__s", grid)))
     return d.select(*keys, F.when(F.col("__q").isNotNull(), F.array_distinct(chosen)).otherwise(F.array().cast("array<double>")).alias("__cuts"), "__n")
