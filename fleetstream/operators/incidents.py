@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from fleetstream.config import Config
 from fleetstream.functions.ids import evidence_key, incident_id
-from fleetstream.operators.scan import asof_join, gap_sessions, seconds
+from fleetstream.operators.scan import asof_join, gap_sessions, scan, seconds, time_chunk
+
+
+#: What a session keeps of the event that opened its incident.
+TRIGGER = ("ts", "event_id", "type", "severity", "operator_id", "site_id")
 
 
 def severity_rank(severity: Column) -> Column:
@@ -28,21 +32,22 @@ def link_events(events: DataFrame, cfg: Config = Config()) -> DataFrame:
     """
     d = events.dropDuplicates(["event_id"])
     d = gap_sessions(d, ["machine_id"], "ts", ["event_id"], cfg.correlation_window_s, cfg.chunk_s, "sess")
-    trigger = F.struct("ts", "event_id", "type", "severity", "operator_id", "site_id")
+    trigger = F.struct(*TRIGGER)
     opened = (
         d.where(severity_rank(F.col("severity")) >= 1)
         .groupBy("machine_id", "sess_first_ts").agg(F.min(trigger).alias("trigger"))
     )
     j = d.join(opened, ["machine_id", "sess_first_ts"])
+    return _with_role(j, cfg).drop("sess_first_ts", "sess_gap_s", "sess_pos")
+
+
+def _with_role(rows: DataFrame, cfg: Config) -> DataFrame:
+    """Rows of events with the ``trigger`` of their session: role and incident_id; rows of no incident are left out."""
     t = F.col("trigger")
     here, there = F.struct("ts", "event_id"), F.struct(t["ts"].alias("ts"), t["event_id"].alias("event_id"))
     lookback = (F.col("ts") < t["ts"]) & (seconds("ts") >= seconds(t["ts"]) - cfg.correlation_window_s)
-    j = j.withColumn("role", F.when(here == there, "OPEN").when(here > there, "EXTEND").when(lookback, "LOOKBACK"))
-    return (
-        j.where("role is not null")
-        .withColumn("incident_id", incident_id(F.col("machine_id"), t["event_id"]))
-        .drop("sess_first_ts", "sess_gap_s", "sess_pos")
-    )
+    j = rows.withColumn("role", F.when(here == there, "OPEN").when(here > there, "EXTEND").when(lookback, "LOOKBACK"))
+    return j.where("role is not null").withColumn("incident_id", incident_id(F.col("machine_id"), t["event_id"]))
 
 
 def decide(events: DataFrame, linked: DataFrame) -> DataFrame:
@@ -161,6 +166,73 @@ def unlinked(events: DataFrame, linked: DataFrame, as_of: Column, cfg: Config =
     return recent.join(linked.select("event_id"), "event_id", "left_anti")
 
 
+def _as_sessions(events: DataFrame) -> DataFrame:
+    """Each event as a session of its own: machine_id, first_ts, last_ts, trigger (NULL below WARNING)."""
+    return events.select(
+        "machine_id", F.col("ts").alias("first_ts"), F.col("ts").alias("last_ts"), F.when(severity_rank(F.col("severity")) >= 1, F.struct(*TRIGGER)).alias("trigger")
+    )
+
+
+def _merge_sessions(spans: DataFrame, cfg: Config) -> DataFrame:
+    """Spans of a machine that lie within the correlation window of each other become one; the first trigger stays."""
+    order = ["first_ts", "last_ts"]
+    d = spans.withColumn("__chunk", time_chunk("first_ts", cfg.chunk_s))
+    d = scan(d, ["machine_id"], "__chunk", order, prior_maxs={"__reach": seconds("last_ts")})
+    apart = F.col("__reach").isNull() | (seconds("first_ts") - F.col("__reach") > cfg.correlation_window_s)
+    d = d.withColumn("__start", F.when(apart, F.col("first_ts")))
+    # among equal spans the one that starts a session has the least reach before it
+    d = scan(d, ["machine_id"], "__chunk", [*order, "__reach"], lasts={"__first": F.col("__start")})
+    return d.groupBy("machine_id", F.col("__first").alias("first_ts")).agg(F.max("last_ts").alias("last_ts"), F.min("trigger").alias("trigger")).select("machine_id", "first_ts", "last_ts", "trigger")
+
+
+def sessions_of(events: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """The state that correlation needs of the past: one row per session of a machine, with the trigger of its incident if it has one."""
+    return _merge_sessions(_as_sessions(events), cfg)
+
+
+def advance_sessions(sessions: DataFrame, events: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """``sessions`` after further ``events``, late ones and repeated ones included: equal to ``sessions_of`` all events.
+
+    Only sessions within the correlation window of the events' time span are
+    merged with them; the others pass as they are, and no earlier event is
+    read. An event between two sessions may join them. Rows with a NULL machine
+    are one machine.
+    """
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    if low is None:
+        return sessions
+    w = cfg.correlation_window_s * 1_000_000
+    near = (F.col("last_ts") >= F.timestamp_micros(F.lit(low - w))) & (F.col("first_ts") <= F.timestamp_micros(F.lit(high + w)))
+    return sessions.where(~near).unionByName(_merge_sessions(sessions.where(near).unionByName(_as_sessions(events)), cfg))
+
+
+def link_to_sessions(events: DataFrame, sessions: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """``link_events`` for some events, by the sessions that hold them instead of by all events."""
+    d = asof_join(events.dropDuplicates(["event_id"]), sessions, ["machine_id"], "ts", "first_ts", ["trigger"], cfg.chunk_s)
+    return _with_role(d.where("trigger is not null"), cfg)
+
+
+def superseded(before: DataFrame, after: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Incidents whose trigger is no longer the first of its session: old_incident_id and the incident_id that takes their events over."""
+    key = lambda t: incident_id(F.col("machine_id"), F.col(t)["event_id"])
+    old = before.where("trigger is not null").select("machine_id", "first_ts", F.col("trigger").alias("__old"))
+    d = asof_join(old, after, ["machine_id"], "first_ts", "first_ts", ["trigger"], cfg.chunk_s)
+    return d.where(F.col("trigger")["event_id"] != F.col("__old")["event_id"]).select("machine_id", key("__old").alias("old_incident_id"), key("trigger").alias("incident_id"))
+
+
+def reconcile(recent: DataFrame, linked: DataFrame, sessions: DataFrame, as_of: Column, cfg: Config = Config()) -> tuple[DataFrame, DataFrame]:
+    """(missed events with role and incident, sessions afterwards) for a pass over the look-back of ``as_of``.
+
+    ``recent`` are stored events, of which those in the look-back are read;
+    ``linked`` is what incidents hold. INFO events that no incident holds are
+    seen again by each pass, which changes nothing.
+    """
+    d = recent.where((F.col("ts") <= as_of) & (F.col("ts") >= as_of - F.make_dt_interval(secs=F.lit(cfg.reconcile_lookback_s))))
+    missed = d.join(linked.select("event_id"), "event_id", "left_anti")
+    after = advance_sessions(sessions, missed, cfg)
+    return link_to_sessions(missed, after, cfg), after
+
+
 def work_feed(incident_rows: DataFrame) -> DataFrame:
     """Incidents to explain: once when opened, once per escalation."""
     opened = incident_rows.select("incident_id", "machine_id", F.lit("opened").alias("reason"), F.col("opened_at").alias("ts"))

@@ -168,12 +168,62 @@ def _(p):
     return incidents.unlinked(p.t("feed"), stored, F.lit(_AS_OF).cast("timestamp"), p.cfg).select("event_id")
 
 
+_STORED = "2026-01-01 05:50:00"
+
+
+@stage_table("sessions_stored")
+def _sessions_stored(p):
+    """What earlier passes left behind: sessions of the events up to the stored time."""
+    return incidents.sessions_of(p.t("feed").where(F.col("ts") <= F.lit(_STORED).cast("timestamp")), p.cfg)
+
+
 @query("c12_reconcile", """select event_id, incident_id from lnk where severity <> 'INFO' and ts <= timestamp '2026-01-01 06:00:00' and ts > timestamp '2026-01-01 05:50:00'""")
 def _(p):
-    stored = p.t("linked").where(F.col("ts") <= F.lit("2026-01-01 05:50:00").cast("timestamp"))
-    missed = incidents.unlinked(p.t("feed"), stored, F.lit(_AS_OF).cast("timestamp"), p.cfg).select("event_id")
-    # a new pass over all events: ids are deterministic, so only the missed ones are new
-    return incidents.link_events(p.t("feed"), p.cfg).join(missed, "event_id", "left_semi").select("event_id", "incident_id")
+    stored = p.t("linked").where(F.col("ts") <= F.lit(_STORED).cast("timestamp"))
+    missed, _after = incidents.reconcile(p.t("feed"), stored, p.t("sessions_stored"), F.lit(_AS_OF).cast("timestamp"), p.cfg)
+    return missed.where("severity <> 'INFO'").select("event_id", "incident_id")
+
+
+# a quarter of the events come late: they extend, open and bridge sessions of the others
+_LATE = "frame_seq % 4 = 1"
+
+
+@stage_table("sessions_early")
+def _sessions_early(p):
+    return incidents.sessions_of(p.t("feed").where(f"not ({_LATE})"), p.cfg)
+
+
+@stage_table("sessions_late")
+def _sessions_late(p):
+    return incidents.advance_sessions(p.t("sessions_early"), p.t("feed").where(_LATE), p.cfg)
+
+
+cte("sess_rows", "select machine_id, min(ts) fts, max(ts) lts, arg_min(event_id, (ts, event_id)) filter (rk >= 1) tid from sess group by machine_id, sid")
+cte(
+    "early_rows",
+    """select machine_id, min(ts) fts, arg_min(event_id, (ts, event_id)) filter (severity <> 'INFO') tid from (
+      select *, sum(case when gap is null or gap > 300 then 1 else 0 end) over (partition by machine_id order by ts, event_id) sid from (
+      select *, epoch(ts) - epoch(lag(ts) over (partition by machine_id order by ts, event_id)) gap from event_feed where not (frame_seq % 4 = 1))) group by machine_id, sid""",
+)
+
+
+@query("c12_late_sessions", "select machine_id, cast(epoch(fts) as bigint) first_s, cast(epoch(lts) as bigint) last_s, tid trigger_event_id from sess_rows")
+def _(p):
+    return p.t("sessions_late").select("machine_id", SEC("first_ts").alias("first_s"), SEC("last_ts").alias("last_s"), F.col("trigger")["event_id"].alias("trigger_event_id"))
+
+
+@query("c12_late_links", "select event_id, incident_id, role from lnk where frame_seq % 4 = 1")
+def _(p):
+    return incidents.link_to_sessions(p.t("feed").where(_LATE), p.t("sessions_late"), p.cfg).select("event_id", "incident_id", "role")
+
+
+@query(
+    "c12_superseded",
+    f"""select o.machine_id, {uuid5_sql("'incident:'||o.machine_id||':'||o.tid")} old_incident_id, {uuid5_sql("'incident:'||n.machine_id||':'||n.tid")} incident_id
+      from early_rows o join sess_rows n on o.machine_id = n.machine_id and o.fts between n.fts and n.lts where o.tid is not null and o.tid <> n.tid""",
+)
+def _(p):
+    return incidents.superseded(p.t("sessions_early"), p.t("sessions_late"), p.cfg)
 
 
 @query("c13_work_feed", "select incident_id, 'opened' reason, cast(epoch(opened_at) as bigint) ts_s from inc union all select incident_id, 'escalated', cast(epoch(ts) as bigint) from esc")
