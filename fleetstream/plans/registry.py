@@ -33,6 +33,7 @@ def _load() -> None:
         q_incidents,
         q_models,
         q_knowledge,
+        q_rollups,
         q_streaming,
     )
 
