@@ -9,6 +9,7 @@ from fleetstream.operators import ingest, states
 from fleetstream.plans.oracle import cte
 from fleetstream.plans.pipeline import stage_table
 from fleetstream.plans.registry import query
+from fleetstream.session import stage_path
 from fleetstream.sources import dimensions, records, sinks
 
 EPOCH = F.unix_seconds
@@ -138,6 +139,39 @@ def _(p):
     return sinks.new_rows(replayed, target, ["event_id"]).select("event_id", "machine_id", "type")
 
 
+@query("a6_sink_replay", "select event_id, machine_id, type, cast(epoch(ts) as bigint) ts_s from event_feed")
+def _(p):
+    """Three deliveries of the events written to a table, the second and third with replays, and read back."""
+    x, path = p.t("event_feed").select("event_id", "machine_id", "type", "ts", "frame_seq"), stage_path(p.spark, "sink")
+    for part in (x.where("frame_seq % 3 = 0"), x.where("frame_seq % 3 <> 2"), x.unionByName(x)):
+        sinks.insert_if_absent(part, path, ["machine_id", "event_id"], "ts")
+    return p.spark.read.parquet(path).select("event_id", "machine_id", "type", EPOCH("ts").alias("ts_s"))
+
+
+@query(
+    "a7_upsert",
+    "select machine_id, max(seq) seq, cast(epoch(max(ts)) as bigint) ts_s, arg_max(speed_kmh, seq) speed_kmh, arg_max(task_id, seq) task_id from telemetry group by machine_id",
+)
+def _(p):
+    """The latest frame per machine kept in a table over three deliveries, the last of which is an old one, and read back."""
+    x, path = p.t("telemetry").select("machine_id", "seq", "ts", "speed_kmh", "task_id"), stage_path(p.spark, "latest")
+    for part in (x.where("seq % 2 = 0"), x.where("seq % 2 = 1"), x.where("seq < 100")):
+        sinks.upsert_latest(part, path, ["machine_id"], ["ts", "seq"])
+    return p.spark.read.parquet(path).select("machine_id", "seq", EPOCH("ts").alias("ts_s"), "speed_kmh", "task_id")
+
+
+@query(
+    "a4_history_reader",
+    "select case when task_type = '' then 'NONE' else coalesce(task_type, 'NONE') end task_type, count(*) n, sum(window_s) window_s, count(distinct operator_id) operators from hist_windows group by 1",
+)
+def _(p):
+    """History written as gzipped CSV and read by the reader."""
+    x, path = p.t("hist_windows").select("window_id", "operator_id", "task_type", "window_s"), stage_path(p.spark, "history")
+    x.write.option("header", True).option("compression", "gzip").csv(path)
+    d = records.history_windows(records.read_history(p.spark, path, ",".join(f"{n} {k}" for n, k in x.dtypes)))
+    return d.groupBy("task_type").agg(F.count("*").alias("n"), F.sum("window_s").alias("window_s"), F.countDistinct("operator_id").alias("operators"))
+
+
 @query(
     "a7_latest_per_key",
     "select machine_id, max(seq) seq, cast(epoch(max(ts)) as bigint) ts_s, arg_max(speed_kmh, seq) speed_kmh, arg_max(task_id, seq) task_id from telemetry group by machine_id",
