@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,24 +33,50 @@ NAME = re.compile(r"[a-z]+")
 #: Space of the hashed features; pages of the table the field is fitted on, at most.
 SPACE, FIT_PAGES = 1 << 14, 400
 SEMANTIC = ("article", "main")
+#: Elements around a block, nearest ones, whose tags count; elements with names whose names count.
+NEAR, NAMED = 12, 64
+
+
+@dataclass(frozen=True)
+class Around:
+    """The block elements around a place, from the outside in, as far as they are looked at: each opening adds a bounded amount.
+
+    ``near`` are the nearest tags, ``plain`` the nearest without article and
+    main, ``tags`` all of them as a set, ``named`` the nearest sets of names
+    from class, id and role.
+    """
+
+    near: tuple[str, ...] = ()
+    plain: tuple[str, ...] = ()
+    tags: frozenset[str] = frozenset()
+    named: tuple[frozenset[str], ...] = ()
+    mark: str = ""
+
+    def inside(self, tag: str, names: frozenset[str], mark: str) -> Around:
+        return Around(
+            (*self.near, tag)[-NEAR:], self.plain if tag in SEMANTIC else (*self.plain, tag)[-NEAR:], self.tags if tag in self.tags else self.tags | {tag},
+            (*self.named, names)[-NAMED:] if names else self.named, mark or self.mark,
+        )
 
 
 @dataclass
 class Block:
-    """A leaf block: its text, its elements from the outside in, names from class, id and role, and what share of the text is in links."""
+    """A leaf block: its text, the elements around it, their names, and what share of the text is in links."""
 
     text: str
-    path: tuple[str, ...]
+    around: Around
     names: frozenset[str]
     linked: int = 0
-    mark: str = ""
+
+    @property
+    def mark(self) -> str:
+        return self.around.mark
 
 
 @dataclass
 class _Open:
     tag: str
-    names: frozenset[str]
-    mark: str
+    around: Around
     silent: bool
     inline: bool = field(default=False)
 
@@ -79,6 +106,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         return out
     stack: list[_Open] = []
     parts: list[str] = []
+    opened: Counter[str] = Counter()
     linked = at = 0
     end = len(page)
 
@@ -87,12 +115,15 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                outer = [o for o in stack if not o.inline]
-                mark = next((o.mark for o in reversed(outer) if o.mark), "")
-                out.append(Block(text, tuple(o.tag for o in outer), frozenset().union(*(o.names for o in outer)), min(linked, len(text)), mark))
+                around = stack[-1].around if stack else Around()
+                out.append(Block(text, around, frozenset().union(*around.named), min(linked, len(text))))
             parts.clear()
         linked = 0
 
+    def shut(k: int) -> None:
+        opened.subtract(o.tag for o in stack[k:])
+        del stack[k:]
+
     def add(text: str) -> None:
         nonlocal linked
         if text and not (stack and stack[-1].silent):
@@ -111,11 +142,10 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(o.tag == tag for o in stack):
+            if opened[tag]:
                 if tag not in INLINE and tag not in SILENT:
                     flush()
-                while stack.pop().tag != tag:
-                    pass
+                shut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag))
             elif tag == "p" or tag not in INLINE and tag not in VOID:
                 flush()
             continue
@@ -130,7 +160,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             flush()
             for k in range(len(stack) - 1, -1, -1):
                 if tag in CLOSED_BY.get(stack[k].tag, ()):
-                    del stack[k:]
+                    shut(k)
                     break
                 if not stack[k].inline:
                     break
@@ -144,7 +174,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        stack.append(_Open(tag, names, mark, silent, inline))
+        around = stack[-1].around if stack else Around()
+        stack.append(_Open(tag, around if inline else around.inside(tag, names, mark), silent, inline))
+        opened[tag] += 1
     flush()
     return out
 
@@ -162,8 +194,8 @@ def features(blocks: list[Block], semantic: bool = True) -> list[list[int]]:
     n = len(blocks)
     for k, b in enumerate(blocks):
         words = b.text.split(" ")
-        path = [t for t in b.path if semantic or t not in SEMANTIC]
-        names = {f"in:{t}" for t in path[-12:]} | {f"name:{x}" for x in b.names if len(x) < 24}
+        path = b.around.near if semantic else b.around.plain
+        names = {f"in:{t}" for t in path} | {f"name:{x}" for x in b.names if len(x) < 24}
         names.add(f"tag:{path[-1] if path else ''}")
         names.add(f"words:{min(len(words).bit_length(), 8)}")
         names.add(f"links:{round(4 * b.linked / len(b.text))}")
@@ -212,7 +244,7 @@ def _marked(blocks: list[Block]) -> list[int] | None:
     """1 for content by the marks of a labelled page, or by the article or main element of a page that has one with text."""
     if any(b.mark for b in blocks):
         return [int(b.mark == "c") for b in blocks]
-    inside = [any(t in SEMANTIC for t in b.path) and not any(t in ("nav", "aside", "footer", "form") for t in b.path) and not b.names & OTHER for b in blocks]
+    inside = [not b.around.tags.isdisjoint(SEMANTIC) and b.around.tags.isdisjoint(("nav", "aside", "footer", "form")) and not b.names & OTHER for b in blocks]
     return [int(x) for x in inside] if any(inside) else None
 
 

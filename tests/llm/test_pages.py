@@ -1,4 +1,5 @@
 import html
+import time
 import re
 
 import numpy as np
@@ -82,3 +83,11 @@ def test_only_hidden_elements_are_hidden():
         '<p data-x="display: none">three</p><p hidden>no</p><p HIDDEN="">no</p><p aria-hidden=true>no</p><p style="color:red; display : none">no</p><object><p>four</p></object></article>'
     )
     assert [b.text for b in pages.leaf_blocks(page)] == ["one", "two", "before x=2 after", "three", "four"]
+
+
+def test_deep_nesting_is_linear():
+    started = time.perf_counter()
+    blocks = pages.leaf_blocks("".join(f'<div class="c{i}">w{i}' for i in range(20_000)))
+    rows = pages.features(blocks)
+    assert len(rows) == 20_000 and time.perf_counter() - started < 10
+    assert max(map(len, rows)) < pages.NEAR + pages.NAMED + 10
