@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from fleetstream.llm.common import words_of
 from fleetstream.session import stage
 
-#: Words of a block, times a source may be repeated, slots of an output shard (and fewest shards), rows whose places are summed in one task.
-BLOCK, REPEATS, SHARD_SLOTS, LEAST_SHARDS, CHUNK = 128, 3, 1 << 19, 16, 50_000
+#: Words of a block, times a source may be repeated, slots of an output shard (and fewest shards), rows whose places are summed in one task, equal rows laid out at once.
+BLOCK, REPEATS, SHARD_SLOTS, LEAST_SHARDS, CHUNK, COPIES = 128, 3, 1 << 19, 16, 50_000, 4096
 WEIGHTS = (5, 2, 1)
 SPACES = "[^\\x20\\x09-\\x0D]+"
 
@@ -82,21 +82,34 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
+def copies(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``copy``, the number of a row among equal ones.
+
+    Equal rows are counted before the shuffle and laid out again in blocks, so
+    that a row repeated any number of times is in no one task.
+    """
+    counted = sizes.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("n"))
+    blocks = counted.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    laid = F.sequence(F.col("from"), F.least(F.col("from") + COPIES, F.col("n")) - 1)
+    return blocks.withColumn("copy", F.explode(laid)).select("doc_id", "source", "size", "tie", "copy")
+
+
 def placed(sizes: DataFrame) -> DataFrame:
     """``sizes`` with ``begin``: words of the source before the document.
 
     Documents of a source stand in a fixed pseudorandom order. Sums run over
-    chunks of bounded size, so a source with a third of all rows is spread.
+    chunks of bounded size, so a source with a third of all rows is spread, and
+    so are rows that are equal to each other.
     """
     chunks = max(1, -(-sizes.count() // CHUNK))
-    cut = sizes.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit("chunk")), F.lit(chunks)))
+    cut = copies(sizes).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tie", "copy", F.lit("chunk")), F.lit(chunks)))
     sums = cut.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("s"), F.col("chunk").alias("c"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "chunk").orderBy("doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "chunk").orderBy("doc_id", "tie", "size", "copy").rowsBetween(Window.unboundedPreceding, -1)
     ordered = cut.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))
-    return ordered.join(starts, same).withColumn("begin", F.col("start") + F.col("inside")).drop("s", "c", "chunk", "start", "inside")
+    return ordered.join(starts, same).withColumn("begin", F.col("start") + F.col("inside")).drop("s", "c", "chunk", "start", "inside", "copy")
 
 
 def plan(sizes: DataFrame, weights: tuple = WEIGHTS, repeats: int = REPEATS) -> list[dict]:

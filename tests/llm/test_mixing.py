@@ -95,3 +95,14 @@ def test_mixed_documents_carry_the_words_taken(spark):
         got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.encode().split())
         assert r.n_chars == len(r.text)
     assert got == expected
+
+
+def test_equal_rows_are_spread_and_keep_their_places(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 1000)
+    monkeypatch.setattr(mixing, "COPIES", 64)
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit("web").alias("source"))
+    sizes = mixing.sized(docs)
+    d = mixing.placed(sizes)
+    assert sorted(r.begin for r in d.collect()) == list(range(0, 40_000, 2))
+    chunk = F.pmod(F.xxhash64("doc_id", "tie", "copy", F.lit("chunk")), F.lit(20))
+    assert mixing.copies(sizes).groupBy(chunk).count().agg(F.max("count")).first()[0] < 1300
