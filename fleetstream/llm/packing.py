@@ -121,8 +121,9 @@ def pack_sequences(docs: DataFrame, length: int = LENGTH, group: int = GROUP, vo
     """Pieces of documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Documents are tokenized once; only the lengths are packed. Full pieces are
-    sequences of their own. The others are dealt by a hash into groups of about
-    ``group`` pieces, whose number follows the input, and each group is packed
+    sequences of their own. The others are dealt by a hash of the piece and its
+    place in the written table into groups of about ``group`` pieces, however
+    often rows repeat; their number follows the input, and each group is packed
     by best fit decreasing and then by swap-based local search. A null or empty
     text is the closing id alone; a repeated row is packed again; an empty
     table gives no rows; other columns are not looked at.
@@ -131,7 +132,8 @@ def pack_sequences(docs: DataFrame, length: int = LENGTH, group: int = GROUP, vo
     short = pieces.filter(F.col("length") < length)
     groups = max(1, -(-short.count() // group))
     schema = pieces.schema.simpleString().removeprefix("struct<").removesuffix(">") + ",sequence_id:bigint,offset:bigint"
-    dealt = short.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # the place in the written table spreads repeated rows
+    dealt = short.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     packed = dealt.groupBy("g").applyInPandas(_pack_group(length), schema)
     full = pieces.filter(F.col("length") == length).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return packed.unionByName(full)

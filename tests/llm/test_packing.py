@@ -1,4 +1,5 @@
 import random
+from pyspark.sql import functions as F
 import zlib
 
 import numpy as np
@@ -127,3 +128,11 @@ def test_matrices_give_back_every_document(spark, plain):
         joined = [x for p in parts for x in p[2]]
         assert joined == (plain.encode(text, add_special_tokens=False).ids if text else []) + [0]
         assert [p[1] for p in parts] == np.cumsum([0] + [len(p[2]) for p in parts])[:-1].tolist()
+
+
+def test_equal_rows_are_dealt_over_groups(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("word").alias("text"))
+    d = packing.pack_sequences(docs, length=64, group=300)
+    per_group = d.groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()
+    assert len(per_group) == 10 and max(r["count"] for r in per_group) < 450
+    assert d.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 64").count() == 0
