@@ -1,6 +1,6 @@
 import html
-import time
 import re
+import time
 
 import numpy as np
 import pytest
