@@ -276,6 +276,21 @@ def _model(p):
     return _MODELS[p]
 
 
+_TREES: dict = {}
+
+
+def _trees(p):
+    """The quantile trees, one fit per session and input."""
+    if p not in _TREES:
+        _TREES[p] = eta.fit_eta_quantiles(p.t("eta_split"), step=0.3, patience=5)
+    return _TREES[p]
+
+
+@stage_table("eta_margins")
+def _margins(p):
+    return eta.band_margins(eta.predict_eta(p.t("eta_split").where("split = 'val'"), _trees(p)), p.cfg)
+
+
 @query(
     "e3_model_errors",
     """select task_type, count(*) n, round(avg(abs(actual_min - planner_estimate_min)), 4) mae_planner, true better, true covered
@@ -318,6 +333,26 @@ def _(p):
     return d.select("task_id", F.size("factors").alias("n_factors"), (F.abs(F.col("base_value_min") + total - F.col("p50_min")) < 0.005).alias("adds_up"))
 
 
+@query(
+    "e1_baseline_rows",
+    "select task_id, machine_id, ws + 30 ts_s, est_duration_minutes planner_estimate_min, case when usable then 'OK' else 'UNAVAILABLE' end status, case when not usable then 'TASK_METADATA_MISSING' end unavailable_reason, "
+    "case when usable then concat_ws(',', " + ", ".join(f"case when {k} is null then '{k}' end" for k in _DEFAULTS) + ") end defaults_used, "
+    "cast(case when usable then 6 end as int) n_factors, case when usable then true end adds_up, case when usable then true end in_order from ("
+    "select t.task_id, t.task_type, t.target_cycles, t.est_duration_minutes, f.*exclude (task_id), m.type machine_type, m.age_years machine_age_years, u.skill_level operator_skill, coalesce(t.task_type, '') <> '' and coalesce(t.target_cycles, 0) <> 0 usable "
+    "from tasks t join (select task_id, machine_id, ws, weather, ground, rainfall_mm_h, visibility_m, wind_kmh, ambient_temp_c, hauler_queue_mean from feat_ctx where task_id is not null and frame_count >= 20 "
+    "qualify row_number() over (partition by task_id order by ws, machine_id) = 1) f using (task_id) left join machines m on m.machine_id = f.machine_id left join users u on u.user_id = t.operator_id)",
+)
+def _(p):
+    d = eta.baseline_rows(p.t("tasks"), p.t("windows"), p.t("machines"), p.t("users"), _trees(p), p.t("eta_split"), p.t("eta_margins"), p.cfg)
+    c = F.col
+    total = F.aggregate("factors", F.lit(0.0), lambda a, f: a + f["minutes"])
+    return d.select(
+        "task_id", "machine_id", SEC("ts").alias("ts_s"), "planner_estimate_min", "status", "unavailable_reason", F.array_join("defaults_used", ",").alias("defaults_used"),
+        F.when(c("factors").isNotNull(), F.size("factors")).alias("n_factors"), (F.abs(c("base_value_min") + total - c("p50_min")) < 0.005).alias("adds_up"),
+        ((c("p10_min") <= c("p50_min")) & (c("p50_min") <= c("p90_min"))).alias("in_order"),
+    )
+
+
 @query(
     "e7_residual",
     """select task_id, round_even(case when abs(a) >= abs(b) then a + rest else a end, 2) AS a, round_even(case when abs(a) < abs(b) then b + rest else b end, 2) AS b from (select *, p - base - (a + b) rest from (
