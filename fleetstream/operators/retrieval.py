@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Chunks of a slice (about, since chunks are hashed), numbers of a block, queries that are searched together.
 SLICE, BLOCK, TOGETHER = 2048, 64, 2048
+#: Queries of a part that advance together through a slice.
+AT_ONCE = 128
 #: Impacts per term that are kept to bound the k-th score from below before any slice is opened.
 BEST = 32
 #: Name of a slice's row of chunk ids, and mark of rows that list the chunks of a tag.
@@ -81,7 +83,7 @@ class _Slice:
         self.ids = rows["ids"].slice(head, 1).to_pylist()[0]
         blocks = rows["blocks"].combine_chunks()
         flat = blocks.flatten()
-        self.start = np.r_[0, np.cumsum(np.nan_to_num(np.array(blocks.value_lengths().to_pylist(), dtype=float)).astype(np.int64))]
+        self.start = np.r_[0, np.cumsum(blocks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int64)
         self.top, self.block = flat.field("top").to_numpy(), flat.field("block").to_numpy()
         lists = flat.field("postings")
         self.at = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())].astype(np.int64)
@@ -89,71 +91,80 @@ class _Slice:
         self.no, self.impact = postings.field("no").to_numpy(), postings.field("impact").to_numpy()
         askers = rows["askers"].combine_chunks()
         who = askers.flatten()
+        self.is_tag = np.array([t[:1] == TAG for t in self.terms])
         self.row = np.repeat(np.arange(rows.num_rows), askers.value_lengths().to_numpy())
         names = who.field("__q").dictionary_encode()
         self.query, self.names = names.indices.to_numpy(), names.dictionary.to_pylist()
         self.weight, self.least = who.field("w").to_numpy(), who.field("least").to_numpy(zero_copy_only=False)
 
-    def postings(self, row: int, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and impacts of a term in the chosen blocks."""
-        a, b = self.start[row], self.start[row + 1]
-        own = a + np.flatnonzero(chosen[self.block[a:b]])
-        if len(own) == b - a:
-            span = slice(self.at[a], self.at[b])
-            return self.no[span], self.impact[span]
-        counts = self.at[own + 1] - self.at[own]
-        where = np.repeat(self.at[own + 1] - np.cumsum(counts), counts) + np.arange(counts.sum())
-        return self.no[where], self.impact[where]
+
+def _spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which span each place belongs to, and the places of all spans one after the other."""
+    counts = stop - start
+    return np.repeat(np.arange(len(counts)), counts), np.repeat(stop - np.cumsum(counts), counts) + np.arange(counts.sum())
 
 
 def _best_of_slice(rows: pa.Table, k: int, boost: float, read: list | None = None) -> pa.Table:
     s = _Slice(rows)
+    order = np.argsort(s.query, kind="stable")
+    cuts = np.searchsorted(s.query[order], np.arange(0, len(s.names) + AT_ONCE, AT_ONCE))
+    found = [_best_of_queries(s, order[a:b], k, boost, read) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+    query, no, score = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [], [])
+    columns = [[s.names[i] for i in query], [s.ids[i] for i in no], score]
+    return pa.Table.from_arrays([pa.array(col, f.type) for col, f in zip(columns, _SCORES, strict=True)], schema=_SCORES)
+
+
+def _best_of_queries(s: _Slice, members: np.ndarray, k: int, boost: float, read: list | None) -> tuple[np.ndarray, ...]:
+    """(query, no, score) of the k best chunks of each of some queries, whose rows ``members`` are; all queries advance together."""
     n = len(s.ids)
     n_blocks = -(-n // BLOCK)
-    every = np.ones(n_blocks, dtype=bool)
-    out: list[tuple[str, str, float]] = []
-    order = np.argsort(s.query, kind="stable")
-    for members in np.split(order, np.flatnonzero(np.diff(s.query[order])) + 1) if len(order) else []:
-        factor, bound, touched = np.ones(n), np.zeros(n_blocks), np.zeros(n_blocks, dtype=bool)
-        terms = [(s.row[m], s.weight[m]) for m in members if s.terms[s.row[m]][:1] != TAG]
-        for m in members:
-            if s.terms[s.row[m]][:1] == TAG:
-                factor[s.postings(s.row[m], every)[0]] = boost
-        for row, weight in terms:
-            a, b = s.start[row], s.start[row + 1]
-            touched[s.block[a:b]] = True
-            if weight > 0:
-                bound[s.block[a:b]] += weight * s.top[a:b]
-        bound *= np.maximum.reduceat(factor, np.arange(0, n, BLOCK))
-        ahead = np.flatnonzero(touched)
-        ahead = ahead[np.argsort(-bound[ahead], kind="stable")]
-        known = s.least[members]
-        least = np.nanmax(known) if not np.isnan(known).all() else -np.inf
-        found_no, found_score, at, step = np.empty(0, dtype=np.int64), np.empty(0), 0, 4
+    first = s.query[members[0]]
+    query, row, weight = s.query[members] - first, s.row[members], s.weight[members]
+    many = int(query[-1]) + 1
+    tag = s.is_tag[row]
+    factor = np.ones((many, n))
+    asker, entry = _spans(s.start[row[tag]], s.start[row[tag] + 1])
+    block, place = _spans(s.at[entry], s.at[entry + 1])
+    factor[query[tag][asker][block], s.no[place]] = boost
+    query, row, weight = query[~tag], row[~tag], weight[~tag]
+    # what each block can add at most, and a k-th score known from below
+    asker, entry = _spans(s.start[row], s.start[row + 1])
+    cell = query[asker] * n_blocks + s.block[entry]
+    bound = np.bincount(cell, np.maximum(weight[asker], 0.0) * s.top[entry], many * n_blocks).reshape(many, n_blocks)
+    touched = np.bincount(cell, minlength=many * n_blocks).reshape(many, n_blocks) > 0
+    bound = np.where(touched, bound * np.maximum.reduceat(factor, np.arange(0, n, BLOCK), axis=1), -np.inf)
+    least = np.full(many, -np.inf)
+    known = s.least[members]
+    np.fmax.at(least, s.query[members] - first, known)
+    rank = np.empty((many, n_blocks), dtype=np.int64)
+    np.put_along_axis(rank, np.argsort(-bound, axis=1, kind="stable"), np.arange(n_blocks)[None, :], axis=1)
+    best = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
+    at, step = 0, 4
+    while at < n_blocks:
         # a little below the bound: sums of the same numbers may differ in the last bits
-        while at < len(ahead) and bound[ahead[at]] >= least - 1e-6:
-            some = ahead[at : at + step]
-            chosen = np.zeros(n_blocks, dtype=bool)
-            chosen[some[bound[some] >= least - 1e-6]] = True
-            if read is not None:
-                read.append(int(chosen.sum()))
-            score, hit = np.zeros(n), np.zeros(n, dtype=bool)
-            for row, weight in terms:
-                no, impact = s.postings(row, chosen)
-                score[no] += weight * impact
-                hit[no] = True
-            no = np.flatnonzero(hit)
-            # rounded, so that copies of a chunk tie
-            found_no, found_score = np.r_[found_no, no], np.r_[found_score, np.floor(score[no] * factor[no] * 1e9 + 0.5) / 1e9]
-            top = np.lexsort((found_no, -found_score))[:k]
-            found_no, found_score = found_no[top], found_score[top]
-            if len(top) == k:
-                least = max(least, found_score[-1])
-            at, step = at + step, step * 4
-        name = s.names[s.query[members[0]]]
-        out.extend((name, s.ids[i], v) for i, v in zip(found_no, found_score, strict=True))
-    columns = list(zip(*out, strict=True)) or [[], [], []]
-    return pa.Table.from_arrays([pa.array(col, f.type) for col, f in zip(columns, _SCORES, strict=True)], schema=_SCORES)
+        chosen = touched & (rank >= at) & (rank < at + step) & (bound >= least[:, None] - 1e-6)
+        if not chosen.any():
+            break
+        if read is not None:
+            read.append(int(chosen.sum()))
+        own = np.flatnonzero(chosen.ravel()[cell])
+        pair, place = _spans(s.at[entry[own]], s.at[entry[own] + 1])
+        spot = query[asker[own]][pair] * n + s.no[place]
+        total = np.bincount(spot, weight[asker[own]][pair] * s.impact[place], many * n)
+        hit = np.flatnonzero(np.bincount(spot, minlength=many * n))
+        # rounded, so that copies of a chunk tie
+        score = np.floor(total[hit] * factor.ravel()[hit] * 1e9 + 0.5) / 1e9
+        above = score >= least[hit // n] - 1e-6
+        hit, score = hit[above], score[above]
+        found = tuple(np.concatenate(x) for x in zip(best, (hit // n, hit % n, score), strict=True))
+        by = np.lexsort((found[1], -found[2], found[0]))
+        places = np.arange(len(by)) - np.searchsorted(found[0][by], found[0][by])
+        by = by[places < k]
+        best = tuple(x[by] for x in found)
+        last = places[places < k] == k - 1
+        least[best[0][last]] = np.maximum(least[best[0][last]], best[2][last])
+        at, step = at + step, step * 4
+    return best[0] + first, best[1], best[2]
 
 
 def slice_hits(texts: DataFrame, weighted: DataFrame, sliced: DataFrame, k: int, boost: float) -> DataFrame:

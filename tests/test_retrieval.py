@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,49 @@ def test_no_exchange_of_chunk_and_query_pairs(spark):
     assert not any("hashpartitioning" in line and "chunk_id" in line.split("hashpartitioning")[1] and "__q" in line.split("hashpartitioning")[1] for line in plan.splitlines())
 
 
+def test_queries_of_a_part_advance_together(monkeypatch):
+    """What 300 queries of a slice get is what each gets alone, and numpy is not called per query."""
+    rng = np.random.default_rng(5)
+    n, terms = 64 * 8 + 9, [f"t{i:02d}" for i in range(30)]
+    block = lambda b, nos: {"top": float(max(1 + x % 7 for x in nos)), "block": b, "postings": [{"no": int(x), "impact": 1.0 + x % 7} for x in nos]}
+    lists = []
+    for _ in terms:
+        nos = np.sort(rng.choice(n, 90, replace=False))
+        lists.append(sorted((block(int(b), nos[nos // 64 == b]) for b in np.unique(nos // 64)), key=lambda b: -b["top"]))
+    asked = {f"q{i:03d}": rng.choice(30, 3, replace=False) for i in range(300)}
+    who = [[{"__q": q, "w": 0.5 + j % 3 - (i % 50 == 0), "least": None} for i, (q, own) in enumerate(asked.items()) if j in own] for j in range(30)]
+    kind = pa.list_(pa.struct([("top", pa.float64()), ("block", pa.int32()), ("postings", pa.list_(pa.struct([("no", pa.int32()), ("impact", pa.float64())])))]))
+    asker = pa.list_(pa.struct([("__q", pa.string()), ("w", pa.float64()), ("least", pa.float64())]))
+
+    def best(chosen):
+        own = [[a for a in x if a["__q"] in chosen] for x in who]
+        rows = pa.table({
+            "slice": [0] * 31, "term": ["", *terms], "blocks": pa.array([None, *lists], kind), "ids": pa.array([[f"{i:05d}" for i in range(n)]] + [None] * 30, pa.list_(pa.string())),
+            "part": [0] * 31, "askers": pa.array([[], *own], asker),
+        })
+        return retrieval._best_of_slice(rows, 5, 1.5).sort_by([("__q", "ascending"), ("score", "descending"), ("chunk_id", "ascending")]).to_pylist()
+
+    calls, real = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda *a, **kw: (calls.append(1), real(*a, **kw))[1])
+    together = best(set(asked))
+    assert len(calls) < 30
+    assert together == [r for q in asked for r in best({q})] and len(together) == 1500
+
+
+def test_alike_queries_are_searched_once(spark, monkeypatch):
+    chunks = corpus(spark)
+    index = knowledge.search_index(*knowledge.bm25_index(chunks))
+    seen, real = [], knowledge.slice_hits
+    monkeypatch.setattr(knowledge, "slice_hits", lambda texts, *a: (seen.append(texts.count()), real(texts, *a))[1])
+    rows = [("a", "w1 w2 zz1", ["A", "B"]), ("b", "zz2 w2 W1", ["B", "A", "A"]), ("c", "w1 w2 w2", ["A", "B"]), ("d", "w1 w2", None), ("e", "zz3", ["A"]), ("f", "", ["A"])]
+    queries = spark.createDataFrame(rows, "query_id string, query string, tags array<string>")
+    got = {}
+    for r in knowledge.bm25_search(queries, chunks, index, 5, pad=True).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    assert seen == [4] and got["a"] == got["b"] != got["c"] and got["a"] != got["d"] and got["e"] == got["f"]
+    assert [len(got[q]) for q in "abcdef"] == [5] * 6
+
+
 def test_empty_tables(spark):
     chunks = corpus(spark, 5)
     index = knowledge.search_index(*knowledge.bm25_index(chunks))
