@@ -3,10 +3,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from fleetstream.config import WINDOW_FEATURES
-from fleetstream.operators import anomaly, audit, baselines, knowledge
+from fleetstream.operators import anomaly, audit, baselines, eta, knowledge
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +98,57 @@ def test_medians_of_null_keys_and_keys_named_like_results(spark):
     d = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 9.0), (None, 7.0)], "k string, v double")
     got = {r.k: (r.n, r["median"], r.mad) for r in baselines.medians(d, ["k"], "v").collect()}
     assert got == {"a": (2, 2.0, 1.0), None: (3, 7.0, 2.0)}
+
+
+@pytest.mark.parametrize("kind", ["mllib", "quantile"])
+def test_factors_equal_all_coalitions_without_making_them(spark, kind):
+    """Grouped Shapley values from leaves are those of predictions on every mix of a row with every background row."""
+    from itertools import permutations
+
+    rng = np.random.default_rng(4)
+    n = 400
+    frame = pd.DataFrame({
+        "task_id": [f"t{i:03d}" for i in range(n)], "task_type": rng.choice(["GRADING", "TRENCHING"], n), "weather": rng.choice(["SUNNY", "RAIN"], n), "ground": rng.choice(["DRY", "ICY", "WET"], n),
+        "operator_skill": rng.choice(["EXPERT", "BEGINNER"], n), "machine_type": rng.choice(["LOADER", "EXCAVATOR"], n), "target_cycles": rng.integers(20, 80, n).astype(float),
+        "machine_age_years": rng.integers(1, 6, n).astype(float), "wind_kmh": rng.integers(0, 60, n).astype(float), "hauler_queue_mean": rng.integers(0, 4, n).astype(float),
+        "rainfall_mm_h": 0.0, "visibility_m": 9999.0, "ambient_temp_c": rng.integers(5, 30, n).astype(float), "split": np.where(np.arange(n) % 5 == 0, "val", "train"),
+    })
+    slow = (frame["ground"] == "ICY") * (frame["operator_skill"] == "BEGINNER")
+    frame["actual_min"] = frame["target_cycles"] * (1 + 0.5 * slow + 0.01 * frame["wind_kmh"] * (frame["weather"] == "RAIN")) + 5 * frame["hauler_queue_mean"]
+    history = spark.createDataFrame(frame)
+    model = eta.fit_eta(history, 3, 3, 0.5) if kind == "mllib" else eta.fit_eta_quantiles(history, 3, 3, 0.5, 3)
+    tasks = history.where("task_id < 't006'").drop("split").unionByName(spark.createDataFrame([("odd", "UNKNOWN")], "task_id string, task_type string"), allowMissingColumns=True)
+    got = eta.explain_eta(tasks, model, history, background=7)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+    encode = lambda d: {r.task_id: (r.task_type, r.x) for r in eta.feature_row(d).select("task_id", "task_type", eta.encoded().alias("x")).collect()}
+    base = encode(baselines.sample_per_group(history.where("split = 'train'"), "task_type", "task_id", 7, 42))
+    names = list(eta.FACTOR_GROUPS)
+    owner = {f: i for i, g in enumerate(names) for f in eta.FACTOR_GROUPS[g]}
+    group = np.array([owner[f.split("__")[0]] for f in eta.FEATURE_COLUMNS])
+    rows = got.collect()
+    assert sorted(r.task_id for r in rows) == [f"t{i:03d}" for i in range(6)]
+    x = encode(tasks)
+    mixed, at = [], []
+    for r in rows[:3]:
+        kind_of, own = x[r.task_id]
+        for s in range(64):
+            for t, b in base.values():
+                if t == kind_of:
+                    mixed.append(np.where(s >> group & 1, own, b).tolist())
+                    at.append((r.task_id, s))
+    if kind == "mllib":
+        value = [model.predict(Vectors.dense(m)) for m in mixed]
+    else:
+        value = model.only(0.5).predict(np.array(mixed))[:, 0]
+    mean = pd.DataFrame({"at": at, "v": value}).groupby("at")["v"].mean()
+    for r in rows[:3]:
+        v = [mean[(r.task_id, s)] for s in range(64)]
+        want = np.zeros(6)
+        for order in permutations(range(6)):
+            s = 0
+            for g in order:
+                want[g] += (v[s | 1 << g] - v[s]) / 720
+                s |= 1 << g
+        assert np.allclose(r.minutes, want) and abs(r.p50_min - v[63]) < 0.0051 and abs(r.base_value_min - v[0]) < 0.0051
+        assert abs(r.base_value_min + sum(f.minutes for f in r.factors) - r.p50_min) < 0.005
