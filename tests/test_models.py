@@ -71,6 +71,19 @@ def test_search_pads_with_zero_scores(spark):
         knowledge.check_unique(chunks.unionByName(chunks))
 
 
+def test_chunks_of_ids_without_a_separator(spark):
+    """Ids of no machine are cut by a beginning that never falls along them, with many rows to a chunk."""
+    ids = [f"W{i}-{i % 7 + 1}-{i * 13}" for i in range(1, 4000)]
+    d = spark.createDataFrame([(i,) for i in ids], "window_id string")
+    got = sorted((r.window_id, r.p) for r in d.withColumn("p", baselines.id_part(d, "window_id")).collect())
+    parts = [p for _, p in got]
+    assert parts == sorted(parts) and 50 < len(set(parts)) <= 200
+    e = spark.createDataFrame([(f"M{i % 30}:{i}",) for i in range(300)], "window_id string")
+    assert e.withColumn("p", baselines.id_part(e, "window_id")).select("p").distinct().count() == 30
+    same = spark.createDataFrame([("W1",), ("W1",)], "window_id string")
+    assert {r.p for r in same.withColumn("p", baselines.id_part(same, "window_id")).collect()} == {"W1"}
+
+
 def test_ewma_equals_the_plain_fold(spark):
     rows, want = [], {}
     for n in (1, 399, 400, 401, 3000):

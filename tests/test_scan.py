@@ -86,3 +86,14 @@ def test_asof_join(spark):
     for k, t, i in left:
         before = [(rt, v) for (rk, rt), v in right.items() if rk == k and rt <= t]
         assert got[i] == (max(before)[1] if before else None)
+
+
+def test_asof_join_with_few_rows(spark):
+    """A small right side is broadcast: same rows, and the left side is not shuffled."""
+    rng = random.Random(5)
+    ldf = spark.createDataFrame([(rng.choice(["a", "b", None]), T0 + timedelta(seconds=rng.randint(0, 2000)), i) for i in range(300)], "k string, ts timestamp, i long")
+    rdf = spark.createDataFrame([("ab"[i % 2], T0 + timedelta(seconds=50 * i), i) for i in range(40)], "k string, at timestamp, v long")
+    few = asof_join(ldf, rdf, ["k"], "ts", "at", ["v"], 60, few=True)
+    assert {r.i: r.v for r in few.collect()} == {r.i: r.v for r in asof_join(ldf, rdf, ["k"], "ts", "at", ["v"], 60).collect()}
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
