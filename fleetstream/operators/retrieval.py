@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,20 +35,47 @@ def sliced_index(postings: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     impact) by number. Rows of tags have no impacts. ``ids``, in one row per
     slice, has the chunk ids by number, in ascending order.
     """
-    c = F.col
-    known = postings.groupBy("chunk_id").agg(F.first("tags").alias("tags"))
+    known = postings.select("chunk_id", "tags").distinct()
     slices = F.greatest(F.lit(1), F.ceil(known.agg(F.count("*")).scalar() / slice_rows)).cast("int")
-    numbered = known.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), slices).cast("int"))
-    numbered = numbered.withColumn("no", F.row_number().over(Window.partitionBy("slice").orderBy("chunk_id")) - 1)
-    listed = postings.select("chunk_id", "term", c("tf_factor").alias("impact")).join(numbered.select("chunk_id", "slice", "no"), "chunk_id").select("slice", "term", "no", "impact")
-    tagged = numbered.select("slice", F.explode(F.array_distinct("tags")).alias("term"), "no").select("slice", F.concat(F.lit(TAG), "term").alias("term"), "no", F.lit(0.0).alias("impact"))
-    blocks = listed.unionByName(tagged).groupBy("slice", "term", F.expr(f"no div {BLOCK}").cast("int").alias("block")).agg(
-        F.max("impact").alias("top"), F.sort_array(F.collect_list(F.struct("no", "impact"))).alias("postings")
+    tagged = known.select("chunk_id", F.explode(F.array_distinct("tags")).alias("term")).select("chunk_id", F.concat(F.lit(TAG), "term").alias("term"), F.lit(0.0).alias("impact"))
+    listed = postings.select("chunk_id", "term", F.col("tf_factor").alias("impact")).unionByName(tagged)
+    tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = listed.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), slices).cast("int")).repartition(tasks, "slice")
+    return d.groupBy("slice").applyInArrow(
+        _slice_rows, "slice int, term string, blocks array<struct<top: double, block: int, postings: array<struct<no: int, impact: double>>>>, ids array<string>"
     )
-    lists = blocks.groupBy("slice", "term").agg(F.sort_array(F.collect_list(F.struct("top", "block", "postings")), asc=False).alias("blocks"))
-    ids = numbered.groupBy("slice").agg(F.transform(F.sort_array(F.collect_list(F.struct("no", "chunk_id"))), lambda x: x["chunk_id"]).alias("ids"))
-    none = F.lit(None).cast(lists.schema["blocks"].dataType)
-    return lists.withColumn("ids", F.lit(None).cast("array<string>")).unionByName(ids.select("slice", F.lit(IDS).alias("term"), none.alias("blocks"), "ids"))
+
+
+def _ranked(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct values in ascending order, and the place of each row's value among them."""
+    coded = column.combine_chunks().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()]
+
+
+def _slice_rows(rows: pa.Table) -> pa.Table:
+    """The rows of one slice from its postings (slice, chunk_id, term, impact)."""
+    ids, no = _ranked(rows["chunk_id"])
+    terms, term = _ranked(rows["term"])
+    order = np.lexsort((no, term))
+    no, term, impact = no[order], term[order], rows["impact"].to_numpy()[order]
+    start = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(no // BLOCK) != 0)])
+    stop, top = np.r_[start[1:], len(no)], np.maximum.reduceat(impact, start)
+    order = np.lexsort((-(no[start] // BLOCK), -top, term[start]))
+    start, stop, top = start[order], stop[order], top[order]
+    _, place = _spans(start, stop)
+    postings = pa.StructArray.from_arrays([pa.array(no[place].astype(np.int32)), pa.array(impact[place])], names=["no", "impact"])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(stop - start)].astype(np.int32)), postings)
+    blocks = pa.StructArray.from_arrays([pa.array(top), pa.array((no[start] // BLOCK).astype(np.int32)), lists], names=["top", "block", "postings"])
+    cuts = np.searchsorted(term[start], np.arange(len(terms) + 1)).astype(np.int32)
+    blocks = pa.ListArray.from_arrays(pa.array(cuts), blocks)
+    names = pa.array([rows["slice"][0].as_py()] * (len(terms) + 1), pa.int32())
+    return pa.Table.from_arrays([
+        names, pa.concat_arrays([terms, pa.array([IDS], terms.type)]), pa.concat_arrays([blocks, pa.nulls(1, blocks.type)]),
+        pa.concat_arrays([pa.nulls(len(terms), pa.list_(ids.type)), pa.array([ids.to_pylist()], pa.list_(ids.type))]),
+    ], names=["slice", "term", "blocks", "ids"])
 
 
 def best_impacts(postings: DataFrame) -> DataFrame:

@@ -89,7 +89,8 @@ def explanation_job(
 ) -> dict[str, DataFrame]:
     """Incidents and documents to packets, template explanations and lessons."""
     chunks = stage(knowledge.chunk_documents(documents), "job-chunks")
-    postings, terms = (stage(t, name) for t, name in zip(knowledge.bm25_index(chunks), ("job-postings", "job-terms"), strict=True))
+    postings = stage(knowledge.bm25_postings(chunks), "job-postings")
+    terms = stage(knowledge.bm25_terms(postings, chunks), "job-terms")
     slices, weights = knowledge.search_index(postings, terms)
     index = (stage(slices, "job-slices"), stage(weights, "job-weights"))
     state = latest(state_rows.select("machine_id", "ts", "seq", "state", "risk_level"), ["machine_id"], ["ts", "seq"])

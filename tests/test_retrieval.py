@@ -43,6 +43,19 @@ def test_search_equals_summing_all_postings(spark, monkeypatch, k, together):
     assert got == plain(chunks, postings, terms, queries, k)
 
 
+def test_index_counts_terms_where_chunks_are(spark):
+    # three chunks of a partition, one without a word: two postings of w1 with their own counts, and no shuffle by chunk
+    rows = [("c1", "w1", "w1 w2 w1", ["A"]), ("c2", "", "", None), ("c3", "", "w2", [])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, heading string, text string, tags array<string>").coalesce(1)
+    postings, terms = knowledge.bm25_index(chunks)
+    k1, b, avgdl = knowledge.K1, knowledge.B, 5 / 3
+    factor = lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+    got = {(r.chunk_id, r.term): r.tf_factor for r in postings.collect()}
+    assert got == {("c1", "w1"): factor(3, 4), ("c1", "w2"): factor(1, 4), ("c3", "w2"): factor(1, 1)}
+    assert {(r.term, r.df) for r in terms.collect()} == {("w1", 1), ("w2", 2)}
+    assert "hashpartitioning" not in postings._jdf.queryExecution().executedPlan().toString()
+
+
 def test_slices_are_bounded_and_hold_every_posting(spark):
     postings, _ = knowledge.bm25_index(corpus(spark))
     index = retrieval.sliced_index(postings, 100)
