@@ -165,3 +165,19 @@ def test_factors_equal_all_coalitions_without_making_them(spark, kind):
                 s |= 1 << g
         assert np.allclose(r.minutes, want) and abs(r.p50_min - v[63]) < 0.0051 and abs(r.base_value_min - v[0]) < 0.0051
         assert abs(r.base_value_min + sum(f.minutes for f in r.factors) - r.p50_min) < 0.005
+
+
+def test_factors_come_from_the_whole_model(spark, pipe, monkeypatch):
+    """e6_factors explains median trees of all rounds until they stop, not a few rounds of shallow ones."""
+    from fleetstream.plans import q_models, registry
+
+    used = []
+    explain = eta.explain_eta
+    monkeypatch.setattr(eta, "explain_eta", lambda tasks, model, *a, **k: used.append(model) or explain(tasks, model, *a, **k))
+    rows = registry.queries()["e6_factors"](spark, pipe.sf_dir).collect()
+    assert rows and all(r.n_factors == 6 and r.adds_up for r in rows)
+    (model,) = used
+    assert len(eta._paths(model)[1]) > 100 and model.depth == 6
+    # the trees stop where the validation loss is least
+    few = eta.fit_eta_quantiles(pipe.t("eta_split"), 10, 5, 0.3, 5, (0.5,))
+    assert model.loss[0] < few.loss[0] and q_models._median(pipe) is model
